@@ -1,38 +1,60 @@
-"""Reading numbers, rooms and sensor types out of text."""
+"""Reading numbers, rooms and sensor types out of text.
+
+Each function uses its input once or twice only: column expressions are inlined where they are
+used, and long chains of copies make generated code too large to compile.
+"""
+
+import sys
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roomtide import constants as C
 
-_DECIMAL = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_SPECIAL = r"^(?i)[+-]?(inf|infinity|nan)$"
-_DIGIT_GROUPS = r"(?<=[0-9])_(?=[0-9])"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+_DECIMAL = rf"(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+_FINITE = rf"^\s*([+-]?{_DECIMAL})\s*$"
+_ANY = rf"(?i)^\s*(?:[+-](?=nan))?([+-]?(?:{_DECIMAL}|inf(?:inity)?)|nan)\s*$"
 
+_BIGINT_END = 2.0**63
 
-def finite_number(text: Column) -> Column:
-    """A decimal literal as a double, otherwise NULL.
 
-    The pattern keeps out what a bare cast would accept on top, such as '1d' and '1f'.
+def _parsed(text: Column, pattern: str) -> Column:
+    """The text as a double if it has the form of `pattern`, otherwise NULL.
+
+    The pattern keeps out what a bare cast would accept on top, such as '1d'. Text that does
+    not match is extracted as '', which is no number.
     """
-    plain = F.regexp_replace(F.trim(text), _DIGIT_GROUPS, "")
-    return F.when(plain.rlike(_DECIMAL), plain.try_cast("double"))
+    literal = F.regexp_extract(text, pattern, 1)
+    return F.replace(literal, F.lit("_"), F.lit("")).try_cast("double")
+
+
+def finite_number(text: Column) -> Column:
+    return _parsed(text, _FINITE)
 
 
 def number(text: Column) -> Column:
     """Like `finite_number`, but NaN and infinities count as numbers too."""
-    trimmed = F.trim(text)
-    special = F.regexp_replace(trimmed, r"^[+-](?=[nN])", "")
-    return F.when(trimmed.rlike(_SPECIAL), special.try_cast("double")).otherwise(
-        finite_number(text)
-    )
+    return _parsed(text, _ANY)
+
 
+def sensor_value(sensor: Column, value: Column) -> Column:
+    """Motion counts are whole numbers, cut towards zero."""
+    return F.when(sensor == "pir", value - value % 1).otherwise(value)
 
-def sensor_value(sensor: Column, text: Column) -> Column:
-    """The reading's value; motion counts are whole numbers, cut towards zero."""
-    value = number(text)
-    whole = F.when(~F.isnan(value), value).try_cast("bigint").cast("double")
-    return F.when(sensor == "pir", whole).otherwise(value)
+
+def is_epoch(epoch: Column) -> Column:
+    """False or NULL for what cannot be a whole number of seconds, infinity included."""
+    return F.abs(epoch) < _BIGINT_END
+
+
+def is_value(sensor: Column, value: Column) -> Column:
+    """Any number will do, but a motion count must be finite.
+
+    NaN sorts above every number, so it is the bound that lets all of them pass.
+    """
+    bound = F.when(sensor == "pir", F.lit(sys.float_info.max)).otherwise(F.lit(float("nan")))
+    return F.abs(value) <= bound
 
 
 def decoded_path(path: Column) -> Column:
@@ -41,13 +63,21 @@ def decoded_path(path: Column) -> Column:
 
 
 def sensor_from_name(file_name: Column) -> Column:
-    """Sensor type named by a file, NULL when no alias occurs in it."""
-    name = F.lower(file_name)
-    hits = [
-        F.when(name.rlike("|".join(aliases)), F.lit(kind))
+    """Sensor type named by a lower-case file name, NULL when no alias occurs in it.
+
+    One pattern finds the alias: its alternatives are tried in order, each looking through the
+    whole name, so the first type with a match wins wherever in the name it is.
+    """
+    groups = C.FILE_NAME_ALIASES.values()
+    looks = "|".join(f"(?=.*?({'|'.join(aliases)}))" for aliases in groups)
+    found = "".join(f"${i}" for i in range(1, len(groups) + 1))
+    kinds = [
+        F.lit(word)
         for kind, aliases in C.FILE_NAME_ALIASES.items()
+        for alias in aliases
+        for word in (alias, kind)
     ]
-    return F.coalesce(*hits)
+    return F.create_map(*kinds)[F.regexp_replace(file_name, f"^(?:{looks}).*$", found)]
 
 
 def room_from_path(path: Column) -> Column:

@@ -22,12 +22,12 @@ def seconds_to_timestamp(seconds: Column) -> Column:
 
 def epoch_seconds(epoch: Column) -> Column:
     """An epoch in seconds, milliseconds or microseconds (a double) as whole seconds."""
-    return (
-        F.when(epoch > C.MICROSECONDS_ABOVE, epoch / 1e6)
-        .when(epoch > C.MILLISECONDS_ABOVE, epoch / 1e3)
-        .otherwise(epoch)
-        .try_cast("bigint")
+    per_second = (
+        F.when(epoch > C.MICROSECONDS_ABOVE, F.lit(1e6))
+        .when(epoch > C.MILLISECONDS_ABOVE, F.lit(1e3))
+        .otherwise(F.lit(1.0))
     )
+    return (epoch / per_second).try_cast("bigint")
 
 
 def hour_of(ts: Column) -> Column:

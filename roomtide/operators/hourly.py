@@ -14,16 +14,12 @@ from roomtide.sources.tables import on_date
 
 
 def hourly_metrics(silver: DataFrame, event_date: str | date | None = None) -> DataFrame:
-    """Hourly KPIs of one day, or of every day.
+    """Hourly KPIs of one day, or of every row.
 
     Each aggregate has a partial form, so a task sends at most one row per group to the
     shuffle however many readings one sensor has.
     """
-    rows = (
-        silver.where(F.col("event_date").isNotNull())
-        if event_date is None
-        else on_date(silver, event_date)
-    )
+    rows = silver if event_date is None else on_date(silver, event_date)
     value = F.col("value_clean")
     hours = rows.groupBy(
         "room", "sensor_type", "event_date", hour_of(F.col("ts_utc")).alias("hour_utc")

@@ -4,36 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomtide import constants as C
+from roomtide import schemas
 from roomtide.functions import messages, text
 from roomtide.functions.timeline import epoch_seconds
 
 
-def _read(rows: DataFrame) -> DataFrame:
+def _parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
         {
-            "ts": epoch_seconds(text.finite_number(F.col("ts_raw"))),
-            "value": text.sensor_value(F.col("sensor"), F.col("value_raw")),
+            "epoch": text.finite_number(F.col("ts_raw")),
+            "number": text.number(F.col("value_raw")),
         }
     )
 
 
+def _usable() -> Column:
+    return text.is_epoch(F.col("epoch")) & text.is_value(F.col("sensor"), F.col("number"))
+
+
 def to_readings(rows: DataFrame) -> DataFrame:
     """Rows with a numeric epoch and value, as `ts` and `value`. Others, headers included, go."""
-    return (
-        _read(rows)
-        .where(F.col("ts").isNotNull() & F.col("value").isNotNull())
-        .drop("ts_raw", "value_raw")
+    kept = [F.col(c) for c in rows.columns if c not in schemas.RAW_ROW.fieldNames()]
+    return _parsed(rows).where(_usable()).select(
+        *kept,
+        epoch_seconds(F.col("epoch")).alias("ts"),
+        text.sensor_value(F.col("sensor"), F.col("number")).alias("value"),
     )
 
 
 def rejected_by_sensor(rows: DataFrame) -> DataFrame:
-    """How many raw rows `to_readings` keeps and rejects."""
-    bad = F.col("ts").isNull() | F.col("value").isNull()
-    return _read(rows).groupBy("sensor").agg(
+    """How many raw rows there are and how many `to_readings` rejects."""
+    bad = ~F.coalesce(_usable(), F.lit(False))
+    return _parsed(rows).groupBy("sensor").agg(
         F.count("*").alias("nb_rows"), F.count_if(bad).alias("nb_rejected")
     )
 

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomtide.config import child
-from roomtide.functions import messages, text
+from roomtide.functions import messages
 from roomtide.functions.lookup import lookup
+from roomtide.functions.timeline import seconds_to_timestamp
 
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 _FIRST_EVENT, _FIRST_READING, _SPEED = 1_704_067_200, 1_377_216_000, 10
@@ -52,13 +53,14 @@ def _sensor(fold: Column) -> Column:
     )
 
 
-def _value(sensor: Column) -> Column:
-    v = F.col("value")
+def _value(fold: Column) -> Column:
+    kind, v = F.col("event_type"), F.col("value")
     return (
-        F.when(sensor == "co2", 300 + 10 * v)
-        .when(sensor == "pir", F.when(v >= 35, 1.0).otherwise(0.0))
-        .when(sensor == "luminosity", 10 * v)
-        .when(sensor == "temperature", 15 + v / 5)
+        F.when((fold == 4) & kind.isin("click", "signup"), v)
+        .when(kind == "click", 300 + 10 * v)
+        .when(kind == "error", F.when(v >= 35, 1.0).otherwise(0.0))
+        .when(kind == "purchase", 10 * v)
+        .when(kind == "signup", 15 + v / 5)
         .otherwise(v)
     )
 
@@ -67,15 +69,33 @@ def readings(event_rows: DataFrame) -> DataFrame:
     """(event_id, logged, room, sensor, ts, value); 0 to 40 % of a room's values are NULL."""
     fold = F.col("user_id") % 5
     logged = F.col("ts").cast("timestamp")
-    second = F.unix_seconds(logged)
+    elapsed = F.unix_seconds(logged) - _FIRST_EVENT
     present = F.col("event_id") % 10 >= fold
     return event_rows.select(
         "event_id",
         logged.alias("logged"),
         (F.lit(101) + fold).cast("string").alias("room"),
         _sensor(fold).alias("sensor"),
-        (F.lit(_FIRST_READING) + F.floor((second - _FIRST_EVENT) / _SPEED)).alias("ts"),
-        F.when(present, _value(_sensor(fold))).alias("value"),
+        (F.lit(_FIRST_READING) + F.floor(elapsed / _SPEED)).alias("ts"),
+        F.when(present, _value(fold)).alias("value"),
+    )
+
+
+def bronze(event_rows: DataFrame) -> DataFrame:
+    """The readings as the bronze table holds them."""
+    event_ts = seconds_to_timestamp(F.col("ts"))
+    return readings(event_rows).select(
+        "room",
+        "sensor",
+        F.col("ts").alias("ts_unix"),
+        "value",
+        messages.message_topic(F.col("sensor")).alias("topic"),
+        (F.col("event_id") % 3).cast("int").alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("logged").alias("kafka_ts"),
+        event_ts.alias("event_ts"),
+        F.to_date(event_ts).alias("event_date"),
+        F.current_timestamp().alias("ingest_ts"),
     )
 
 
@@ -95,7 +115,7 @@ def envelope(event_rows: DataFrame) -> DataFrame:
 
 
 def raw_files(event_rows: DataFrame) -> DataFrame:
-    """The readings as raw rows (room, file, line, ts_raw, value_raw).
+    """The readings as raw rows (room, sensor, file, line, ts_raw, value_raw).
 
     Clocks are written in seconds, milliseconds or microseconds in turn, and rows come slightly
     out of order, so that a file's clock also steps back.
@@ -106,10 +126,10 @@ def raw_files(event_rows: DataFrame) -> DataFrame:
         .when(number % 3 == 1, F.col("ts") * 1000 + number % 1000)
         .otherwise(F.col("ts") * 1_000_000 + number % 1_000_000)
     )
-    name = lookup(F.col("sensor"), _FILE_NAMES, "noise")
     return readings(event_rows).select(
         "room",
-        F.concat(name, F.lit(".csv")).alias("file"),
+        "sensor",
+        F.concat(lookup(F.col("sensor"), _FILE_NAMES, "noise"), F.lit(".csv")).alias("file"),
         (number - 2 * (number % 8) + 7).alias("line"),
         epoch.cast("string").alias("ts_raw"),
         F.col("value").cast("string").alias("value_raw"),
@@ -118,10 +138,9 @@ def raw_files(event_rows: DataFrame) -> DataFrame:
 
 def raw_rows(event_rows: DataFrame) -> DataFrame:
     """`raw_files` in the columns of `raw_csv.read_rows`, without writing files."""
-    sensor = text.sensor_from_name(F.col("file"))
-    return raw_files(event_rows).where(sensor.isNotNull()).select(
+    return raw_files(event_rows).where(F.col("sensor") != "noise").select(
         "room",
-        sensor.alias("sensor"),
+        "sensor",
         F.concat_ws("/", "room", "file").alias("path"),
         F.floor(F.col("line") / _SPLIT_ROWS).alias("split"),
         "line",
@@ -134,7 +153,7 @@ def write_raw_files(event_rows: DataFrame, root: str) -> None:
     """The raw rows as CSV entries `<root>/room=<room>/file=<name>.csv`."""
     (
         raw_files(event_rows)
-        .drop("line")
+        .drop("sensor", "line")
         .hint("rebalance", "room", "file")
         .write.partitionBy("room", "file")
         .csv(root)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from roomtide.operators.daily import daily_room_metrics
 from roomtide.operators.hourly import hourly_metrics
@@ -26,6 +27,9 @@ def refresh_gold(
     and the days are computed from this run's hours only.
     """
     silver = tables.read_silver(spark, silver_root, event_date)
+    if event_date is None:
+        # Readings without a usable clock belong to no day.
+        silver = silver.where(F.col("event_date").isNotNull())
     hours = hourly_metrics(silver, event_date)
     tables.write_partitioned(hours, hourly_root, mode=mode)
     if mode == "overwrite":

@@ -6,83 +6,109 @@ the room or file level, which a partitioned write adds, is not part of the name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomtide import constants as C
 from roomtide import schemas
 from roomtide.config import child
 from roomtide.functions import text
 
-_ENTRY = r"([^/]+)/([^/]+)\.csv(?:/[^/]*)?$"
+_PART_FILE = r"(?<=\.csv)/[^/]*$"
 _PREFIX = r"^[A-Za-z_]+="
 
+# About 40 MB of paths.
+BROADCAST_FILES = 100_000
 
-def _level(path: Column, group: int) -> Column:
-    return F.regexp_replace(F.regexp_extract(path, _ENTRY, group), _PREFIX, "")
 
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
 
-def _entry(path: Column) -> Column:
-    """The entry a file belongs to: the file itself, or the folder it is a part of."""
-    return F.regexp_replace(path, r"(\.csv)/[^/]*$", "$1")
 
+def _glob(root: str, rooms: Sequence[str], sensors: Sequence[str]) -> str:
+    """Paths of the entries that may be wanted; other files are not even listed as input."""
+    room_level = name_level = "*"
+    if rooms:
+        names = [re.sub(r"([*?\[\]{},\\])", r"\\\1", room) for room in rooms]
+        room_level = "{" + ",".join([*names, *(f"*={name}" for name in names)]) + "}"
+    aliases = [a for s in sensors for a in C.FILE_NAME_ALIASES.get(s.lower(), [])]
+    if aliases:
+        name_level = "{" + ",".join(f"*{_any_case(alias)}*" for alias in aliases) + "}"
+    return child(root, room_level, f"{name_level}.csv")
+
+
+def _described(files: DataFrame) -> DataFrame:
+    """Add `room`, `sensor` and the entry's `path` to rows with a `file_path`."""
+    entry = text.decoded_path(F.regexp_replace("file_path", _PART_FILE, ""))
+    tail = F.substring_index("path", "/", -2)
+    name = F.regexp_replace(F.lower(F.substring_index(tail, "/", -1)), _PREFIX, "")
+    return files.withColumn("path", entry).withColumns(
+        {
+            "room": F.regexp_replace(F.substring_index(tail, "/", 1), _PREFIX, ""),
+            "sensor": text.sensor_from_name(F.regexp_replace(name, r"\.csv$", "")),
+        }
+    )
 
-def _wanted(
-    files: DataFrame, path: Column, rooms: Sequence[str], sensors: Sequence[str]
-) -> DataFrame:
-    """Keep files of a known sensor type, and of the listed rooms and types if any.
 
-    The conditions use nothing but the path, so Spark applies them to the file listing and
-    the other files are never opened.
-    """
-    name = text.decoded_path(path)
-    sensor = text.sensor_from_name(_level(name, 2))
-    files = files.where(sensor.isNotNull())
+def _wanted(df: DataFrame, rooms: Sequence[str], sensors: Sequence[str]) -> DataFrame:
+    """Known sensor types, and the listed rooms and types if any."""
+    df = df.where(F.col("sensor").isNotNull())
     if rooms:
-        files = files.where(_level(name, 1).isin(list(rooms)))
+        df = df.where(F.col("room").isin(list(rooms)))
     if sensors:
-        files = files.where(sensor.isin([s.lower() for s in sensors]))
-    return files
+        df = df.where(F.col("sensor").isin([s.lower() for s in sensors]))
+    return df
 
 
-def _described(path: Column) -> list[Column]:
-    name = text.decoded_path(path)
-    return [
-        _level(name, 1).alias("room"),
-        text.sensor_from_name(_level(name, 2)).alias("sensor"),
-        _entry(name).alias("path"),
-    ]
+def _files(
+    spark: SparkSession, root: str, rooms: Sequence[str], sensors: Sequence[str]
+) -> DataFrame:
+    listed = spark.read.format("binaryFile").load(_glob(root, rooms, sensors))
+    paths = listed.select(F.col("_metadata.file_path").alias("file_path"))
+    return _wanted(_described(paths), rooms, sensors)
 
 
 def list_entries(
     spark: SparkSession, root: str, rooms: Sequence[str] = (), sensors: Sequence[str] = ()
 ) -> DataFrame:
     """(room, sensor, path) of each entry in path order. No file content is read."""
-    files = spark.read.format("binaryFile").load(child(root, "*", "*.csv"))
-    files = _wanted(files, F.col("path"), rooms, sensors)
-    return files.select(*_described(F.col("path"))).distinct().orderBy("path")
+    files = _files(spark, root, rooms, sensors)
+    return files.select("room", "sensor", "path").distinct().orderBy("path")
 
 
 def read_rows(
-    spark: SparkSession, root: str, rooms: Sequence[str] = (), sensors: Sequence[str] = ()
+    spark: SparkSession,
+    root: str,
+    rooms: Sequence[str] = (),
+    sensors: Sequence[str] = (),
+    broadcast_files: int = BROADCAST_FILES,
 ) -> DataFrame:
-    """Raw rows (room, sensor, path, ts_raw, value_raw) with their place in the file.
+    """Raw rows (room, sensor, path, split, line, ts_raw, value_raw).
 
     `split` and `line` order the rows of a file: the scan cuts a file into splits at byte
     offsets, and line numbers grow within a split. Part files of one entry follow each other
     in name order.
+
+    What a path says is worked out once per file and looked up per row while the files are few
+    enough to broadcast, and worked out on every row otherwise.
     """
-    files = spark.read.schema(schemas.RAW_ROW).csv(child(root, "*", "*.csv"))
-    path = F.col("_metadata.file_path")
     split = F.struct(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
     )
-    return _wanted(files, path, rooms, sensors).select(
-        *_described(path),
+    rows = spark.read.schema(schemas.RAW_ROW).csv(_glob(root, rooms, sensors))
+    placed = rows.select(
+        F.col("_metadata.file_path").alias("file_path"),
         split.alias("split"),
         F.monotonically_increasing_id().alias("line"),
-        "ts_raw",
-        "value_raw",
+        *rows.columns,
     )
+    files = _files(spark, root, rooms, sensors)
+    if files.limit(broadcast_files + 1).count() <= broadcast_files:
+        described = placed.join(F.broadcast(files), "file_path")
+    else:
+        described = _wanted(_described(placed), rooms, sensors)
+    return described.select("room", "sensor", "path", "split", "line", *rows.columns)
