@@ -1,0 +1,176 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from roomtide import schemas
+from roomtide.jobs import gold as gold_job
+from roomtide.operators.daily import daily_by_joins, daily_room_metrics
+from roomtide.operators.hourly import hourly_metrics
+from roomtide.plans.gold import refresh_gold
+from roomtide.sources import tables
+
+DAY = dt.date(2013, 8, 23)
+
+
+def silver(spark, readings):
+    """readings: (room, sensor, hour, value)."""
+    rows = []
+    for i, (room, sensor, hour, value) in enumerate(readings):
+        ts = dt.datetime(2013, 8, 23, hour, i % 60)
+        valid = value is not None
+        rows.append(
+            (room, sensor, f"{room}-{sensor}", 0, ts, DAY, str(value), value, "u", valid,
+             "OK" if valid else "MISSING", DAY, "", ts)
+        )
+    return spark.createDataFrame(rows, schemas.SILVER)
+
+
+def hours(spark, rows):
+    """rows: (room, sensor, hour, nb_valid, nb_invalid, mean)."""
+    made = [
+        (room, sensor, DAY, dt.datetime(2013, 8, 23, hour), valid + bad, valid, bad,
+         mean, mean, mean, None, valid / (valid + bad), "OK", dt.datetime(2024, 1, 1))
+        for room, sensor, hour, valid, bad, mean in rows
+    ]
+    return spark.createDataFrame(made, schemas.HOURLY)
+
+
+def one_day(spark, rows):
+    hourly = hours(spark, rows)
+    single, joined = daily_room_metrics(hourly), daily_by_joins(hourly)
+    assert (
+        single.drop("created_at").orderBy("room").collect()
+        == joined.drop("created_at").orderBy("room").collect()
+    )
+    return single.first()
+
+
+def test_hourly_schema(spark):
+    df = hourly_metrics(silver(spark, []))
+    assert [(f.name, f.dataType) for f in df.schema] == [
+        (f.name, f.dataType) for f in schemas.HOURLY
+    ]
+
+
+def test_hour_of_readings(spark):
+    rows = [("1", "co2", 5, 400.0), ("1", "co2", 5, 500.0), ("1", "co2", 5, None)]
+    row = hourly_metrics(silver(spark, rows), "2013-8-23").first()
+    assert (row.nb_readings, row.nb_valid, row.nb_invalid) == (3, 2, 1)
+    assert (row.value_min, row.value_max, row.value_avg) == (400.0, 500.0, 450.0)
+    assert row.value_std == pytest.approx(5000**0.5)
+    assert row.hour_utc == dt.datetime(2013, 8, 23, 5)
+    assert (row.pct_valid, row.quality_flag_hour) == (2 / 3, "BAD")
+
+
+def test_single_and_empty_hours(spark):
+    row = hourly_metrics(silver(spark, [("1", "co2", 5, 400.0)])).first()
+    assert (row.value_std, row.quality_flag_hour) == (None, "OK")
+    row = hourly_metrics(silver(spark, [("1", "co2", 5, None)])).first()
+    assert (row.value_avg, row.value_min, row.value_max, row.pct_valid) == (None, None, None, 0.0)
+
+
+@pytest.mark.parametrize(("valid", "flag"), [(9, "OK"), (8, "WARNING"), (7, "WARNING"), (6, "BAD")])
+def test_hour_flags_at_their_bounds(spark, valid, flag):
+    rows = [("1", "co2", 5, 1.0 if i < valid else None) for i in range(10)]
+    assert hourly_metrics(silver(spark, rows)).first().quality_flag_hour == flag
+
+
+def test_a_missing_flag_counts_neither_way(spark):
+    rows = silver(spark, [("1", "co2", 5, 1.0)]).withColumn("is_valid", F.lit(None).cast("boolean"))
+    row = hourly_metrics(rows).first()
+    assert (row.nb_readings, row.nb_valid, row.nb_invalid) == (1, 0, 0)
+
+
+def test_means_are_weighted_but_occupancy_is_not(spark):
+    row = one_day(spark, [
+        ("1", "co2", 1, 1, 0, 400.0), ("1", "co2", 2, 3, 0, 800.0),
+        ("1", "pir", 1, 1, 0, 0.0), ("1", "pir", 2, 3, 0, 1.0),
+    ])
+    assert row.co2_avg == 700.0
+    assert row.occupancy_rate == 0.5
+
+
+def test_band_bounds(spark):
+    row = one_day(spark, [
+        ("1", "temperature", 1, 1, 0, 20.0), ("1", "temperature", 2, 1, 0, 24.0),
+        ("1", "temperature", 3, 1, 0, 24.1),
+        ("1", "humidity", 1, 1, 0, 30.0), ("1", "humidity", 2, 1, 0, 60.0),
+        ("1", "co2", 1, 1, 0, 1000.0), ("1", "co2", 2, 1, 0, 1000.1),
+    ])
+    assert row.temp_comfort_ratio == pytest.approx(2 / 3)
+    assert row.humidity_in_range_ratio == 1.0
+    assert row.co2_above_1000_ratio == 0.5
+    assert row.comfort_score == pytest.approx(100 * (0.5 * 2 / 3 + 0.3 * 0.5 + 0.2))
+
+
+def test_hours_without_valid_readings(spark):
+    row = one_day(spark, [
+        ("1", "temperature", 1, 2, 0, 22.0), ("1", "temperature", 2, 0, 2, None),
+        ("1", "co2", 1, 0, 2, None),
+    ])
+    assert (row.temp_avg, row.temp_comfort_ratio) == (22.0, 0.5)
+    assert (row.co2_avg, row.co2_max, row.co2_above_1000_ratio) == (None, None, 0.0)
+    assert row.data_quality_score == pytest.approx(100 / 3)
+
+
+def test_room_with_motion_only(spark):
+    row = one_day(spark, [("1", "pir", 1, 1, 0, 1.0)])
+    assert row.comfort_score == 30.0
+    assert (row.temp_avg, row.co2_avg, row.humidity_avg, row.luminosity_avg) == (None,) * 4
+
+
+def test_unknown_sensor_counts_for_quality_only(spark):
+    row = one_day(spark, [("1", "noise", 1, 1, 1, 5.0), ("1", "pir", 1, 1, 0, 0.0)])
+    assert row.data_quality_score == 75.0
+
+
+def test_daily_forms_agree_on_many_rooms(spark):
+    rows = [
+        (str(room), sensor, hour, (room * hour) % 4, 1, float(10 * room + hour))
+        for room in range(8)
+        for s, sensor in enumerate(("temperature", "co2", "humidity", "luminosity", "pir", "noise"))
+        if (room + s) % 3
+        for hour in range(6)
+    ]
+    one_day(spark, rows)
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.drop("created_at").collect())
+
+
+def test_refresh_twice_replaces_and_append_adds(spark, folder):
+    table, hourly, daily = (f"{folder}/{n}" for n in ("silver", "hourly", "daily"))
+    tables.write_partitioned(silver(spark, [("1", "co2", 5, 1.0), ("2", "pir", 6, 0.0)]), table)
+    refresh_gold(spark, table, hourly, daily, "2013-08-23")
+    first = _rows(tables.read_hourly(spark, hourly)), _rows(tables.read_daily(spark, daily))
+    refresh_gold(spark, table, hourly, daily, "2013-08-23")
+    assert (_rows(tables.read_hourly(spark, hourly)), _rows(tables.read_daily(spark, daily))) == first
+    refresh_gold(spark, table, hourly, daily, "2013-08-23", mode="append")
+    assert _rows(tables.read_hourly(spark, hourly)) == sorted(2 * first[0])
+    assert _rows(tables.read_daily(spark, daily)) == sorted(2 * first[1])
+
+
+def test_refresh_of_one_day_leaves_the_others(spark, folder):
+    table, hourly, daily = (f"{folder}/{n}" for n in ("silver", "hourly", "daily"))
+    day = silver(spark, [("1", "co2", 5, 1.0)])
+    later = day.withColumns(
+        {"event_date": F.date_add("event_date", 1), "ts_utc": F.col("ts_utc") + F.expr("interval 1 day")}
+    )
+    undated = day.withColumns({"event_date": F.lit(None).cast("date"), "ts_utc": F.lit(None).cast("timestamp")})
+    tables.write_partitioned(day.union(later).union(undated), table)
+    refresh_gold(spark, table, hourly, daily)
+    assert tables.read_hourly(spark, hourly).count() == 2
+    refresh_gold(spark, table, hourly, daily, "2013-08-24")
+    assert [r.event_date.day for r in tables.read_daily(spark, daily).orderBy("event_date").collect()] == [23, 24]
+
+
+def test_gold_job(spark, folder, monkeypatch):
+    monkeypatch.setenv("SILVER_PATH", f"{folder}/silver")
+    monkeypatch.setenv("GOLD_PATH", f"{folder}/gold")
+    tables.write_partitioned(silver(spark, [("1", "co2", 5, 1.0)]), f"{folder}/silver")
+    gold_job.main(["--date", "2013-8-23"])
+    assert tables.read_daily(spark, f"{folder}/gold/room_daily_metrics").count() == 1
+    with pytest.raises(ValueError):
+        gold_job.main([])
