@@ -1,0 +1,133 @@
+"""The physical plans are the ones meant: pruned scans, few shuffles, no Python, no hot task."""
+
+import re
+
+import pytest
+
+from roomtide import schemas
+from roomtide.operators import replay, serving
+from roomtide.operators.daily import daily_by_joins, daily_room_metrics
+from roomtide.operators.hourly import hourly_metrics
+from roomtide.operators.silver import to_silver
+from roomtide.plans import queries
+from roomtide.sources import tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scan(df):
+    """The one file scan of a plan, as `explain` describes it."""
+    text = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    scans = re.findall(r"\(\d+\) Scan parquet.*?\n\n", text, re.S)
+    assert len(scans) == 1
+    return scans[0]
+
+
+@pytest.fixture(scope="module")
+def silver(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("silver"))
+    tables.write_partitioned(queries._silver(spark, SF), root)
+    return root
+
+
+@pytest.fixture(scope="module")
+def readings(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("readings"))
+    queries._readings(spark, SF).write.mode("overwrite").parquet(root)
+    return spark.read.parquet(root)
+
+
+def test_readings_prune_partitions_columns_and_row_groups(spark, silver):
+    page = serving.readings(
+        tables.read_silver(spark, silver), "2013-08-24", room="101",
+        from_ts="2013-08-24T01:00:00", to_ts="2013-08-24T02:00:00",
+    )
+    text = scan(page)
+    assert re.search(r"PartitionFilters:.*event_date.* = 2013-08-24", text)
+    for pushed in ("EqualTo(room,101)", "GreaterThanOrEqual(ts_utc", "LessThanOrEqual(ts_utc",
+                   "EqualTo(is_valid,true)"):
+        assert pushed in text
+    read = re.search(r"ReadSchema: struct<(.*)>", text).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == set(schemas.READING.fieldNames())
+    assert "TakeOrderedAndProject" in plan(page)
+
+
+def test_listings_read_one_column_of_one_day(spark, silver):
+    text = scan(serving.rooms(tables.read_silver(spark, silver)))
+    assert "ReadSchema: struct<room:string>" in text
+    assert "event_date" in re.search(r"PartitionFilters:.*", text).group(0)
+
+
+def test_hours_need_one_shuffle_after_partial_aggregation(spark, silver):
+    hours = hourly_metrics(tables.read_silver(spark, silver), "2013-08-24")
+    assert plan(hours).count("Exchange hashpartitioning") == 1
+    assert "partial_stddev_samp" in plan(hours)
+    assert "ReadSchema: struct<room:string,sensor_type:string,ts_utc:timestamp,value_clean:double,is_valid:boolean>" in scan(hours)
+
+
+def test_days_need_one_scan_two_shuffles_and_no_join(spark, silver):
+    days = daily_room_metrics(hourly_metrics(tables.read_silver(spark, silver)))
+    text = plan(days)
+    assert text.count("FileScan") == 1
+    assert text.count("Exchange") == 2
+    assert "Join" not in text
+    joined = plan(daily_by_joins(hourly_metrics(tables.read_silver(spark, silver))))
+    assert joined.count("FileScan") == 6
+
+
+def test_silver_needs_no_shuffle(spark, silver):
+    assert "Exchange" not in plan(to_silver(queries._bronze(spark, SF)))
+
+
+def test_silver_reads_the_bronze_columns_it_needs(spark, tmp_path):
+    queries._bronze(spark, SF).write.parquet(str(tmp_path / "bronze"))
+    text = scan(to_silver(tables.read_bronze(spark, str(tmp_path / "bronze"))))
+    read = re.search(r"ReadSchema: struct<(.*)>", text).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == {
+        "room", "sensor", "ts_unix", "value", "topic", "event_ts",
+    }
+    assert "file_path" in text and "file_size" not in text
+
+
+def test_schedule_shuffles_the_readings_once_in_bounded_groups(spark, readings):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(replay.timewarp(readings, 10))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SinglePartition" not in text
+    big_side, small_side = text.split("SortMergeJoin")[1].split("\n         +- ", 1)
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+, (\w+)#", big_side) == [("path", "split")]
+    # By stream alone only rows that stand for a whole split are moved.
+    per_stream = [line for line in text.splitlines() if re.search(r"hashpartitioning\(path#\d+, \d+\)", line)]
+    assert len(per_stream) == 1
+    assert "Aggregate(key" in small_side
+
+
+def test_schedule_by_time_moves_no_reading(spark, readings):
+    assert "Exchange hashpartitioning" not in plan(replay.timewarp_by_time(readings, 10))
+
+
+def test_positions_use_one_task_for_chunk_counts_only(spark, readings):
+    text = plan(replay.rate(readings, 5))
+    single = text.index("SinglePartition")
+    assert "HashAggregate(keys=[chunk" in text[single:]
+    assert text.count("SinglePartition") == 1
+
+
+def test_writes_are_rebalanced_by_partition(spark, silver):
+    grouped = tables.read_silver(spark, silver).hint("rebalance", "event_date")
+    assert re.search(r"Exchange hashpartitioning\(event_date#\d+, \d+\), REBALANCE", plan(grouped))
+
+
+@pytest.mark.parametrize("name", ["silver_repair", "hourly_kpis", "daily_room_metrics", "message_fields",
+                                  "replay_rate", "csv_ingest", "readings_filtered"])
+def test_no_python_in_plans(spark, name):
+    text = plan(queries.ALL[name](spark, SF))
+    assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|NestedLoop", text)
