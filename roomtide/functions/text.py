@@ -11,31 +11,24 @@ from pyspark.sql import functions as F
 
 from roomtide import constants as C
 
-_DIGITS = r"[0-9]+(?:_[0-9]+)*"
-_DECIMAL = rf"(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
-_FINITE = rf"^\s*([+-]?{_DECIMAL})\s*$"
-_ANY = rf"(?i)^\s*(?:[+-](?=nan))?([+-]?(?:{_DECIMAL}|inf(?:inity)?)|nan)\s*$"
+# What a cast to double would let through although it is no decimal literal: letters other than
+# an exponent's (as in '1d' or '0x1p3'). Underscores may only stand between digits.
+_NOT_DECIMAL = r"[A-DF-Za-df-z]|(?<![0-9])_|_(?![0-9])"
+_NOT_FINITE = r"(?i)^\s*(?:[+-](?=nan))?([+-]?inf(?:inity)?|nan)\s*$"
 
 _BIGINT_END = 2.0**63
 
 
-def _parsed(text: Column, pattern: str) -> Column:
-    """The text as a double if it has the form of `pattern`, otherwise NULL.
-
-    The pattern keeps out what a bare cast would accept on top, such as '1d'. Text that does
-    not match is extracted as '', which is no number.
-    """
-    literal = F.regexp_extract(text, pattern, 1)
-    return F.replace(literal, F.lit("_"), F.lit("")).try_cast("double")
-
-
 def finite_number(text: Column) -> Column:
-    return _parsed(text, _FINITE)
+    """A decimal literal as a double, otherwise NULL."""
+    digits = F.replace(text, F.lit("_"), F.lit(""))
+    return F.when(~text.rlike(_NOT_DECIMAL), digits.try_cast("double"))
 
 
 def number(text: Column) -> Column:
     """Like `finite_number`, but NaN and infinities count as numbers too."""
-    return _parsed(text, _ANY)
+    special = F.regexp_extract(text, _NOT_FINITE, 1).try_cast("double")
+    return F.coalesce(finite_number(text), special)
 
 
 def sensor_value(sensor: Column, value: Column) -> Column:

@@ -66,4 +66,5 @@ def as_kafka(messages_: DataFrame) -> DataFrame:
 
 def message_counts(readings: DataFrame) -> DataFrame:
     """Messages per sensor type, and in total on the row whose sensor is NULL."""
-    return readings.rollup("sensor").agg(F.count("*").alias("nb_messages"))
+    per_sensor = readings.groupBy("sensor").agg(F.count("*").alias("n"))
+    return per_sensor.rollup("sensor").agg(F.sum("n").alias("nb_messages"))

@@ -46,6 +46,8 @@ def build_session(
     """A UTC session. `packages` are Maven coordinates, resolved only when given."""
     settings = settings or Settings.from_env()
     options = dict(_DEFAULTS)
+    if settings.shuffle_partitions:
+        options["spark.sql.shuffle.partitions"] = str(settings.shuffle_partitions)
     paths = (settings.raw_path, settings.bronze_path, settings.silver_path, settings.gold_path)
     coordinates = list(packages)
     if any(p.startswith("s3a://") for p in paths):

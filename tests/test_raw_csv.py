@@ -111,12 +111,30 @@ def test_rejected_rows_are_counted(spark, raw):
     [("1000000000000", 1000000000000), ("1377299108123", 1377299108),
      ("1000000000000000", 1000000000000), ("1377299108123456", 1377299108),
      ("1377299108.9", 1377299108), ("-1.9", -1), (" 12 ", 12), ("1e3", 1000), ("+5", 5),
-     (".5", 0), ("5.", 5), ("1__0", None), ("_1", None), ("1f", None), ("0x10", None), ("nan", None),
+     (".5", 0), ("5.", 5), ("1__0", None), ("_1", None), ("1f", None), ("1_000", 1000),
+     ("1_.5", None), ("1._5", None), ("1e1_0", 10000000000), ("1e400", None), ("0x10", None), ("nan", None),
      ("inf", None), ("", None), ("1,5", None)],
 )
 def test_epochs(spark, given, seconds):
-    number = text.finite_number(F.lit(given))
-    assert spark.range(1).select(epoch_seconds(number).alias("s")).first().s == seconds
+    row = spark.createDataFrame([(given,)], "ts_raw string").select(
+        text.finite_number(F.col("ts_raw")).alias("epoch")
+    )
+    kept = row.where(text.is_epoch(F.col("epoch"))).select(epoch_seconds(F.col("epoch")))
+    assert [r[0] for r in kept.collect()] == ([] if seconds is None else [seconds])
+
+
+@pytest.mark.parametrize(
+    ("sensor", "given", "value"),
+    [("co2", "488", 488.0), ("co2", " -1.5e2 ", -150.0), ("co2", "INFINITY", math.inf),
+     ("co2", "-inf", -math.inf), ("co2", "+nan", math.nan), ("co2", "n", None),
+     ("co2", "1f", None), ("co2", "info", None), ("co2", "", None), ("co2", None, None),
+     ("pir", "1.9", 1.0), ("pir", "-1.9", -1.0), ("pir", "-0.5", 0.0), ("pir", "1e300", 1e300),
+     ("pir", "inf", None), ("pir", "nan", None)],
+)
+def test_values(spark, sensor, given, value):
+    rows = spark.createDataFrame([(sensor, "0", given)], "sensor string, ts_raw string, value_raw string")
+    got = [r.value for r in messages.to_readings(rows).collect()]
+    assert repr(got) == repr([] if value is None else [value])
 
 
 @pytest.mark.parametrize(
