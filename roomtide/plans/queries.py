@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roomtide import schemas
 from roomtide.operators import daily, messages, replay, serving
 from roomtide.operators.bronze import decode_envelope, to_bronze, unparsed_by_topic
 from roomtide.operators.hourly import hourly_metrics
@@ -78,22 +79,16 @@ def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.to_readings(feed.raw_rows(_events(spark, sf_dir)))
+    """Readings of raw rows held in a table, as a scan of files would deliver them."""
+    return messages.to_readings(stored(feed.raw_rows(_events(spark, sf_dir)), "raw-rows"))
 
 
 def envelope_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = decode_envelope(feed.envelope(_events(spark, sf_dir)))
-    return _shown(
-        decoded.select(
-            "key",
-            F.get_json_object("value_str", "$.room").alias("room"),
-            F.get_json_object("value_str", "$.sensor").alias("sensor"),
-            "topic",
-            "partition",
-            "offset",
-            "kafka_ts",
-        )
+    named = decoded.withColumn(
+        "named", F.from_json("value_str", "room string, sensor string")
     )
+    return _shown(named.select("key", "named.*", "topic", "partition", "offset", "kafka_ts"))
 
 
 def bronze_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,14 +248,9 @@ def csv_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = messages.to_messages(_readings(spark, sf_dir))
-    return sent.select(
-        "topic",
-        "key",
-        F.get_json_object("json", "$.room").alias("json_room"),
-        F.get_json_object("json", "$.sensor").alias("json_sensor"),
-        F.get_json_object("json", "$.ts").cast("bigint").alias("json_ts"),
-        F.get_json_object("json", "$.value").cast("double").alias("json_value"),
-    )
+    parsed = sent.select("topic", "key", F.from_json("json", schemas.PAYLOAD).alias("payload"))
+    fields = [F.col(f"payload.{f}").alias(f"json_{f}") for f in schemas.PAYLOAD.fieldNames()]
+    return parsed.select("topic", "key", *fields)
 
 
 def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
