@@ -209,6 +209,7 @@ SQL: dict[str, str] = {
         """,
     ),
     "bronze_stream": _BRONZE_ROWS,
+    "bronze_restart": _BRONZE_ROWS,
     "silver_clean": _SILVER_ROWS,
     "silver_repair": _with(
         _READINGS,
@@ -224,6 +225,9 @@ SQL: dict[str, str] = {
         """,
     ),
     "silver_stream": _SILVER_ROWS,
+    "silver_one_date": _with(
+        _SILVER, "SELECT * FROM silver WHERE event_date = DATE '2013-08-24'"
+    ),
     "silver_quality": _with(
         _SILVER,
         """
@@ -238,6 +242,7 @@ SQL: dict[str, str] = {
     "gold_hourly_table": _HOURLY_ROWS,
     "gold_daily_table": _DAILY_ROWS,
     "gold_one_date": _with(_DAILY, "SELECT * FROM daily WHERE event_date = DATE '2013-08-24'"),
+    "gold_appended": _with(_DAILY, "SELECT * FROM daily UNION ALL SELECT * FROM daily"),
     "rooms": _with(
         _SILVER,
         """
@@ -301,6 +306,14 @@ SQL: dict[str, str] = {
         FROM readings
         """,
     ),
+    "message_log": _with(
+        _RAW,
+        """
+        SELECT 'iot.' || sensor AS topic, room || ':' || sensor AS key, ts, value,
+               (ts - min(ts) OVER (PARTITION BY path)) / CAST(10 AS DOUBLE) AS send_offset
+        FROM readings
+        """,
+    ),
     "message_counts": _with(
         _RAW, "SELECT sensor, count(*) AS nb_messages FROM readings GROUP BY ROLLUP (sensor)"
     ),

@@ -116,6 +116,15 @@ def bronze_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(tables.read_bronze(spark, _streamed_bronze(spark, sf_dir)))
 
 
+def bronze_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream is started again from its checkpoint and finds nothing new."""
+    root, checkpoint = scratch_path(spark, "bronze"), scratch_path(spark, "bronze-checkpoint")
+    for _ in range(2):
+        envelope = feed.envelope(feed.events_stream(pin_utc(spark), sf_dir))
+        layers.start_bronze(envelope, root, checkpoint, available_now=True).awaitTermination()
+    return _shown(tables.read_bronze(spark, root))
+
+
 def silver_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silver_shown(_silver(spark, sf_dir))
 
@@ -148,6 +157,13 @@ def silver_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silver_shown(tables.read_silver(spark, root))
 
 
+def silver_one_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition of a silver table."""
+    root = scratch_path(spark, "silver")
+    tables.write_partitioned(_silver(spark, sf_dir), root)
+    return _silver_shown(tables.read_silver(spark, root, _DATE))
+
+
 def silver_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_by_sensor(_silver(spark, sf_dir))
 
@@ -165,12 +181,14 @@ def daily_join_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_shown(daily.daily_by_joins(hours)))
 
 
-def _gold_tables(spark: SparkSession, sf_dir: str, event_date: str | None) -> tuple[str, str]:
-    """Gold refreshed twice from a silver table; the second run replaces the first."""
+def _gold_tables(
+    spark: SparkSession, sf_dir: str, event_date: str | None, mode: str = "overwrite"
+) -> tuple[str, str]:
+    """Gold refreshed twice from a silver table; the second run replaces the first or adds to it."""
     silver, hourly, days = (scratch_path(spark, name) for name in ("silver", "hourly", "daily"))
     tables.write_partitioned(_silver(spark, sf_dir), silver)
     for _ in range(2):
-        refresh_gold(spark, silver, hourly, days, event_date)
+        refresh_gold(spark, silver, hourly, days, event_date, mode)
     return hourly, days
 
 
@@ -189,6 +207,11 @@ def gold_one_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_shown(tables.on_date(tables.read_daily(spark, days), _DATE)))
 
 
+def gold_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, days = _gold_tables(spark, sf_dir, None, mode="append")
+    return _rounded(_shown(tables.read_daily(spark, days)))
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.rooms(_silver_table(spark, sf_dir))
 
@@ -253,6 +276,17 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("topic", "key", *fields)
 
 
+def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw files to published messages: ingested, scheduled, written and read back."""
+    readings = messages.to_readings(raw_csv.read_rows(spark, _raw_folder(spark, sf_dir)))
+    schedule = replay.timewarp_by_time(readings, _TIMEWARP_FACTOR)
+    log = stored(messages.to_messages(schedule).select("topic", "key", "json", "send_offset"), "log")
+    payload = F.from_json("json", schemas.PAYLOAD).alias("payload")
+    return log.select("topic", "key", payload, "send_offset").select(
+        "topic", "key", "payload.ts", "payload.value", "send_offset"
+    )
+
+
 def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.message_counts(_readings(spark, sf_dir))
 
@@ -285,9 +319,11 @@ ALL: dict[str, Query] = {
         bronze_parse,
         bronze_unparsed,
         bronze_stream,
+        bronze_restart,
         silver_clean,
         silver_repair,
         silver_stream,
+        silver_one_date,
         silver_quality,
         hourly_kpis,
         daily_room_metrics,
@@ -295,6 +331,7 @@ ALL: dict[str, Query] = {
         gold_hourly_table,
         gold_daily_table,
         gold_one_date,
+        gold_appended,
         rooms,
         sensor_types,
         sensor_types_any_date,
@@ -305,6 +342,7 @@ ALL: dict[str, Query] = {
         csv_rejected,
         csv_streams,
         message_fields,
+        message_log,
         message_counts,
         replay_timewarp,
         replay_timewarp_by_time,
