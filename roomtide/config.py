@@ -103,7 +103,7 @@ class Settings:
             rate_per_second=float(env.get("RATE_MSG_PER_SEC", base.rate_per_second)),
             timewarp_factor=float(env.get("TIMEWARP_FACTOR", base.timewarp_factor)),
             silver_max_limit=int(env.get("SILVER_MAX_LIMIT", base.silver_max_limit)),
-            shuffle_partitions=int(env["SHUFFLE_PARTITIONS"]) if env.get("SHUFFLE_PARTITIONS") else None,
+            shuffle_partitions=int(env.get("SHUFFLE_PARTITIONS") or 0) or None,
             s3_access_key=env.get("AWS_ACCESS_KEY_ID"),
             s3_secret_key=env.get("AWS_SECRET_ACCESS_KEY"),
             s3_region=env.get("AWS_DEFAULT_REGION", base.s3_region),

@@ -51,12 +51,11 @@ def timewarp_by_time(readings: DataFrame, factor: float) -> DataFrame:
     )
     if starts.limit(_BROADCAST_STREAMS + 1).count() > _BROADCAST_STREAMS:
         return timewarp(readings, factor, order=("ts", *FILE_ORDER), chunk=None)
-    moved = readings.join(F.broadcast(starts), "path").withColumn(
-        "elapsed", F.col("ts") - F.col("first_ts")
-    )
-    return moved.select(
-        *readings.columns, "elapsed", (F.col("elapsed") / _at_least_one(factor)).alias("send_offset")
+    started = readings.join(F.broadcast(starts), "path")
+    moved = started.select(
+        *readings.columns, (F.col("ts") - F.col("first_ts")).alias("elapsed")
     )
+    return moved.withColumn("send_offset", F.col("elapsed") / _at_least_one(factor))
 
 
 def merged(schedule: DataFrame, order: Sequence[str] = FILE_ORDER) -> DataFrame:

@@ -280,7 +280,8 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw files to published messages: ingested, scheduled, written and read back."""
     readings = messages.to_readings(raw_csv.read_rows(spark, _raw_folder(spark, sf_dir)))
     schedule = replay.timewarp_by_time(readings, _TIMEWARP_FACTOR)
-    log = stored(messages.to_messages(schedule).select("topic", "key", "json", "send_offset"), "log")
+    sent = messages.to_messages(schedule).select("topic", "key", "json", "send_offset")
+    log = stored(sent, "log")
     payload = F.from_json("json", schemas.PAYLOAD).alias("payload")
     return log.select("topic", "key", payload, "send_offset").select(
         "topic", "key", "payload.ts", "payload.value", "send_offset"

@@ -72,6 +72,11 @@ def test_empty_sensor_list_means_all():
     assert Settings.from_env({"SENSORS": ""}).sensors == ()
 
 
+def test_shuffle_partitions():
+    assert Settings.from_env({"SHUFFLE_PARTITIONS": "4000"}).shuffle_partitions == 4000
+    assert Settings.from_env({"SHUFFLE_PARTITIONS": ""}).shuffle_partitions is None
+
+
 def test_s3_without_keys_leaves_the_credential_chain_alone():
     assert list(s3_options(Settings())) == ["spark.hadoop.fs.s3a.endpoint"]
 

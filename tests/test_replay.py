@@ -62,6 +62,19 @@ def test_timewarp(spark, seed, chunk):
     assert all(r.send_offset == r.elapsed / 10 for r in got)
 
 
+def test_timewarp_and_rate_without_broadcast_joins(spark):
+    clocks = streams(7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = replay.timewarp(frame(spark, clocks), 10)
+        assert "SortMergeJoin" in moved._jdf.queryExecution().executedPlan().toString()
+        assert {(r.path, r.line): r.elapsed for r in moved.collect()} == elapsed_by_hand(clocks)
+        turns = replay.rate(frame(spark, clocks), 5).orderBy("position").collect()
+        assert [(r.path, r.line) for r in turns] == turns_by_hand(clocks)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_clock_stepping_back(spark):
     got = replay.timewarp(frame(spark, {"1/a.csv": [10, 5, 8]}, split_rows=2), 1).orderBy("line")
     assert [r.send_offset for r in got.collect()] == [0.0, 0.0, 3.0]
