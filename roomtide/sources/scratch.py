@@ -2,13 +2,14 @@
 
 Intermediate results are written as tables rather than kept on executors, so that losing an
 executor costs one task and not the lineage. The folder is the one the cluster names in
-`spark.checkpoint.dir`.
+`spark.checkpoint.dir`, or else the session's warehouse: both are shared by driver and executors.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,17 +17,11 @@ from roomtide.config import child
 
 
 def scratch_root(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    own = tempfile.mkdtemp(prefix="roomtide-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = child(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,9 +29,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return child(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
     """`df` written once as a scratch table and read back with its own schema."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = child(root, f"{name}-{uuid.uuid4().hex}") if root else scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder for the scratch tables of one job, deleted when the job ends.
+
+    Nothing read from it may be used after the scope: write results elsewhere first.
+    """
+    root = scratch_path(spark, name)
+    try:
+        yield root
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
