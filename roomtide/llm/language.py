@@ -89,7 +89,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
         chances = softmax(logits / t)[labels, np.arange(len(labels))]
         return -float(np.log(np.maximum(chances, 1e-12)).mean())
 
-    return min(np.geomspace(0.02, 10, 64).tolist(), key=loss)
+    return min(np.geomspace(0.02, 50, 96).tolist(), key=loss)
 
 
 def fit(rows: list[Sparse], names: list[str], df: np.ndarray, n_docs: int) -> LanguageModel:

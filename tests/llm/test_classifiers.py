@@ -1,0 +1,176 @@
+"""Language, toxicity and quality: held-out accuracy on given tables, and awkward rows."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from roomtide.llm import language, quality_knn, queries, toxicity
+from tests.llm.cases import awkward, documents, prose
+
+SF = "/root/testdata/sf0.1"
+
+
+def ranked(rows, label) -> float:
+    """Chance that a row with label 1 scores higher than one with label 0."""
+    ones = np.array([r.score for r in rows if r[label] == 1])
+    zeros = np.array([r.score for r in rows if r[label] == 0])
+    higher = (ones[:, None] > zeros).mean() + 0.5 * (ones[:, None] == zeros).mean()
+    return float(higher)
+
+
+def held_out_rows(spark, query, columns="labels"):
+    known = spark.read.parquet(f"{SF}/{columns}.parquet")
+    rows = query(spark, SF).join(known.drop("text", "source", "n_chars"), "doc_id").collect()
+    return [r for r in rows if r.held_out]
+
+
+def test_language_is_right_on_held_out_documents(spark):
+    rows = [r for r in held_out_rows(spark, queries.op4_language, "documents") if r.lang]
+    assert len(rows) > 2000
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.99
+    assert all(0 <= r.score <= 1 for r in rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_toxic_documents_are_found_and_clean_ones_left_alone(spark):
+    rows = held_out_rows(spark, queries.op5_toxicity)
+    assert ranked(rows, "toxic") > 0.96
+    assert np.mean([r.predicted for r in rows if r.toxic == 1]) > 0.88
+    assert np.mean([r.predicted for r in rows if r.toxic == 0]) < 0.02
+
+
+def test_good_documents_are_told_from_bad_ones(spark):
+    rows = held_out_rows(spark, queries.op7_quality)
+    assert ranked(rows, "quality") > 0.98
+    assert np.mean([r.predicted for r in rows if r.quality == 1]) > 0.99
+    assert np.mean([r.predicted for r in rows if r.quality == 0]) < 0.1
+
+
+def spoken(spark):
+    rows = [(f"der hund und die katze {prose(k, 5)}", "de") for k in range(40)]
+    rows += [(f"the dog and the cat {prose(k, 5)}", "en") for k in range(60)]
+    rows += [(None, "de"), ("x", None)]
+    return spark.createDataFrame(rows, "text string, lang string")
+
+
+def test_language_of_awkward_rows(spark):
+    model = language.train(spoken(spark))
+    found = language.identify(documents(spark, awkward()), model).collect()
+    assert len(found) == len(awkward())
+    for row in found:
+        assert row.lang_pred in {"de", "en", "und"} and 0 <= row.score <= 1
+    unknown = {r.doc_id for r in found if r.lang_pred == "und"}
+    assert {0, 1, 2} <= unknown and not unknown & {3, 4, 5, 6, 7}
+    assert model.predict("der die und") == ("de", pytest.approx(1, abs=0.3))
+    assert model.predict("1234 -- !!") == ("und", 0.0)
+
+
+def test_without_languages_all_is_unknown(spark):
+    model = language.train(spoken(spark).where("lang = 'fr'"))
+    found = language.identify(documents(spark, awkward()), model).collect()
+    assert {r.lang_pred for r in found} == {"und"}
+    assert language.identify(documents(spark, []), model).collect() == []
+
+
+def test_one_language_is_certain(spark):
+    model = language.train(spoken(spark).where("lang = 'de'"))
+    assert model.predict("anything") == ("de", 1.0)
+
+
+def test_training_is_repeatable_and_sparse(spark):
+    one, two = (language.train(spoken(spark).repartition(n)) for n in (2, 5))
+    assert (one.weights == two.weights).all() and one.temperature == two.temperature
+    assert (one.weights == 0).mean() > 0.5
+
+
+def test_temperature_fits_overconfident_logits():
+    draw = np.random.default_rng(0)
+    labels = draw.integers(0, 2, 400)
+    sure = np.where(draw.random(400) < 0.8, labels, 1 - labels)
+    logits = np.eye(2)[sure].T * 20
+    chances = language.softmax(logits / language.fit_temperature(logits, labels))
+    assert chances.max(axis=0).mean() == pytest.approx(0.8, abs=0.03)
+
+
+def marked(spark):
+    """Toxic texts have one word of a few; labels also of absent documents and null ones."""
+    draw = random.Random(1)
+    rows = []
+    for k in range(400):
+        words = prose(k, 30).split()
+        if k % 4 == 0:
+            words.insert(draw.randint(0, 30), draw.choice(["nastyword", "vileterm"]))
+        rows.append((k, " ".join(words)))
+    labels = [(k, int(k % 4 == 0), 1) for k in range(300)]
+    labels += [(5, None, None), (12345, 1, 1), (None, 1, 1)]
+    return rows, spark.createDataFrame(labels, "doc_id bigint, toxic int, quality int")
+
+
+def test_toxicity_of_small_tables(spark):
+    rows, labels = marked(spark)
+    docs = documents(spark, [*rows, *((i, t) for i, t in awkward() if i is None)])
+    model = toxicity.train(docs, labels)
+    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, model).collect()}
+    unseen = range(300, 400)
+    assert all((scores[k] >= 0.3) == (k % 4 == 0) for k in unseen)
+
+
+def test_toxicity_of_awkward_rows(spark):
+    rows, labels = marked(spark)
+    model = toxicity.train(documents(spark, rows), labels)
+    found = toxicity.toxicity_scores(documents(spark, awkward()), model).collect()
+    assert len(found) == len(awkward()) and all(0 <= r.score < 0.3 for r in found)
+    assert toxicity.toxicity_scores(documents(spark, []), model).collect() == []
+
+
+def test_toxicity_without_both_classes_is_zero(spark):
+    rows, labels = marked(spark)
+    for some in (labels.where("toxic = 0"), labels.where("toxic = 1"), labels.limit(0)):
+        model = toxicity.train(documents(spark, rows), some)
+        found = toxicity.toxicity_scores(documents(spark, awkward()), model).collect()
+        assert {r.score for r in found} == {0.0}
+
+
+def test_long_texts_are_read_to_the_end(spark):
+    rows, labels = marked(spark)
+    model = toxicity.train(documents(spark, rows), labels)
+    score = model.scorer()
+    long = prose(77, 80_000)
+    assert score(long) < 0.3 <= score(long + " vileterm " + prose(78, 20))
+
+
+def test_ratios_count_all_labelled_rows():
+    ratios = toxicity.log_ratios(np.array([8.0, 0]), np.array([0.0, 8]), 10, 30)
+    assert ratios == pytest.approx([np.log((9 / 12) / (1 / 32)), np.log((1 / 12) / (9 / 32))])
+
+
+def test_quality_of_awkward_rows(spark):
+    rows, labels = marked(spark)
+    docs = documents(spark, [*rows, *awkward()])
+    found = quality_knn.quality_scores(docs, labels).collect()
+    assert len(found) == len(rows) + len(awkward())
+    assert all(0 <= r.score <= 1 for r in found)
+    empty = quality_knn.quality_scores(docs, labels.where(F.lit(False))).collect()
+    assert {r.score for r in empty} == {0.5}
+    assert quality_knn.quality_scores(documents(spark, []), labels).collect() == []
+
+
+def test_votes_equal_those_of_all_pairs():
+    draw = np.random.default_rng(4)
+    sample = []
+    for _ in range(300):
+        terms = np.sort(draw.choice(quality_knn.TERMS, 30, replace=False))
+        sample.append((terms, draw.integers(1, 9, 30).astype(float), int(draw.integers(0, 2))))
+    df = np.full(quality_knn.TERMS, 5.0)
+    voters = quality_knn.fit_voters(sample, df, 300)
+    vectors = np.array([voters.latent(t, c) for t, c, _ in sample[:50]])
+    for vector, score in zip(vectors, voters.score(vectors), strict=True):
+        similar = [max(float(vector @ v), 0.0) for v in voters.vectors]
+        nearest = np.argsort(similar)[::-1][: quality_knn.NEIGHBOURS]
+        votes = np.array([similar[k] for k in nearest]) ** 8
+        assert score == pytest.approx((votes * voters.labels[nearest]).sum() / votes.sum())

@@ -1,0 +1,98 @@
+from __future__ import annotations
+
+import hashlib
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from roomtide.llm import decontaminate, quality_rules, simhash
+from tests.llm.cases import awkward, documents, prose, sorted_rows
+from tests.llm.test_line_dedup import plain_dedup
+from tests.llm.test_simhash import plain_groups
+
+QUESTION = "how many of the small green boxes fit into the large red crate when nobody is looking at it"
+
+
+def corpus():
+    shared = prose(900, 12)
+    rows = [(1000 + k, f"{prose(k, 70)}\n{shared}\n{prose(500 + k, 10)}") for k in range(60)]
+    rows += [(1100 + k, rows[k][1]) for k in range(5)]
+    rows += [(200, f"{prose(200, 60)} {QUESTION} {prose(201, 20)}"), (201, "too short")]
+    rows += [(202, "again and again " * 60), (203, prose(203, 80)), (203, prose(203, 80))]
+    return rows + awkward()
+
+
+def tables(spark, folder, rows):
+    documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, QUESTION)], "item_id bigint, text string").write.parquet(
+        f"{folder}/benchmark.parquet"
+    )
+    labels = [(i, int(i not in (201, 202)), 0) for i, _ in rows if i is not None]
+    spark.createDataFrame(labels[:80], "doc_id bigint, quality int, toxic int").write.parquet(
+        f"{folder}/labels.parquet"
+    )
+
+
+def plain_run(spark, rows):
+    """The stages one by one on lists; the forest's verdict is taken from its operator."""
+    labelled = [(i, int(i not in (201, 202))) for i, _ in rows if i is not None][:80]
+    labels = spark.createDataFrame(labelled, "doc_id bigint, quality int")
+    judged = quality_rules.judge(documents(spark, rows), labels).collect()
+    rejected = {r.doc_id for r in judged if not r.kept}
+    rows = [r for r in rows if r[0] not in rejected]
+    rows = [(i, kept) for i, kept, *_ in plain_dedup(rows)]
+    kept = {}
+    for row, group in zip(rows, plain_groups(rows)[1], strict=True):
+        kept.setdefault(group, []).append(row)
+    kept = {g: min(r, key=lambda x: (x[0] is None, x[0] or 0)) for g, r in kept.items()}
+    rows = [r for r in kept.values() if QUESTION not in r[1]]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    results = []
+    for i, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        digests = [
+            hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), decoded)
+        ]
+        results.append((i, len(ids), *digests))
+    return results
+
+
+def test_against_plain_version(spark, folder):
+    rows = corpus()
+    tables(spark, folder, rows)
+    found = corpus_pipeline.run(spark, folder).collect()
+    expected = plain_run(spark, rows)
+    assert sorted_rows(found) == sorted_rows(expected)
+    ids = {r[0] for r in expected}
+    assert ids >= set(range(1000, 1060)) | {203} and not ids & {1100, 1101, 200, 201, 202}
+
+
+def test_stages_keep_columns_and_work_on_what_is_left(spark, folder):
+    rows = corpus()
+    tables(spark, folder, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, folder)
+        assert kept.columns == docs.columns
+        assert [f.dataType for f in kept.schema] == [f.dataType for f in docs.schema]
+        assert 0 < kept.count() <= before.count()
+    assert kept.where("n_chars != length(text)").count() == 0
+
+
+def test_awkward_rows_go_through_every_stage(spark, folder):
+    tables(spark, folder, awkward())
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    counts = [stage(spark, docs, folder).count() for _, stage in corpus_pipeline.STAGES]
+    groups = simhash.near_duplicates(docs).select("component").distinct().count()
+    assert counts[2] == groups
+    assert counts[1] == counts[3] == counts[4] == len(awkward())
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    assert decontaminate.contaminated(docs, benchmark).count() == 0
+
+
+def test_empty_documents(spark, folder):
+    tables(spark, folder, [])
+    assert corpus_pipeline.run(spark, folder).collect() == []

@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from roomtide.llm import quality_rules as rules
+from tests.llm.cases import awkward, documents, prose, sorted_rows
+
+
+def plain_base(text: str | None) -> tuple:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return (
+        len(words),
+        sum(map(len, words)),
+        symbols,
+        len(lines) - len(set(lines)),
+        len(covered),
+        failed,
+    )
+
+
+def plain_path(forest: rules.Forest, tree: int, x: np.ndarray) -> float:
+    node = 0
+    while node < forest.features.shape[1]:
+        node = 2 * node + 1 + int(x[forest.features[tree, node]] >= forest.cuts[tree, node])
+    return forest.lengths[tree, node - forest.features.shape[1]]
+
+
+def corpus():
+    junk = [(500 + k, " ".join(f"w{k}x{j}$$$***" for j in range(60 + k))) for k in range(12)]
+    loop = [(600 + k, "same old words " * (40 + k)) for k in range(5)]
+    good = [(1000 + k, ". ".join(prose(k * 50 + j, 12) for j in range(8))) for k in range(300)]
+    lines = [(700, "a b c\n" * 30 + prose(1, 80)), (701, "x <y> | z # *\n\n \nx <y> | z # *")]
+    return [*awkward(), *junk, *loop, *good, *lines]
+
+
+def labels(spark, rows):
+    marked = [(i, int(not (500 <= (i or 0) < 700)), 0) for i, _ in rows if i is not None]
+    marked += [(None, 0, 0), (99_999, 1, 0), (1000, None, None)]
+    return spark.createDataFrame(marked, "doc_id bigint, quality int, toxic int")
+
+
+def test_stats_and_base_against_plain_version(spark):
+    found = rules.judge(documents(spark, corpus()), labels(spark, corpus())).select(
+        "doc_id", *rules.STATS[:5], "base_failed"
+    )
+    expected = [(i, *plain_base(t)) for i, t in corpus()]
+    assert sorted_rows(found.collect()) == sorted_rows(expected)
+
+
+def test_repeats_with_many_words_fit_in_codes():
+    words = [b"%d" % (k % 70_000) for k in range(140_000)] + [b"x", b"y"]
+    assert rules.repeated_words(words) == (140_000, 70_002)
+
+
+def test_forest_goes_and_good_documents_stay(spark):
+    rows = corpus()
+    judged = rules.judge(documents(spark, rows), labels(spark, rows)).collect()
+    junk = [r for r in judged if 500 <= (r.doc_id or 0) < 600]
+    good = [r for r in judged if (r.doc_id or 0) >= 1000]
+    assert not any(r.base_failed for r in junk) and sum(not r.kept for r in junk) >= 6
+    assert sum(r.kept for r in good) >= 0.99 * len(good)
+    assert not any(r.kept for r in judged if r.base_failed)
+
+
+def test_paths_and_scores_follow_the_trees():
+    stats = np.random.default_rng(2).integers(0, 400, (900, len(rules.STATS)))
+    forest = rules.grow_forest(stats)
+    x = rules.ratios(stats[:40])
+    for row, score in zip(x, forest.score(stats[:40]), strict=True):
+        mean = np.mean([plain_path(forest, t, row) for t in range(len(forest.features))])
+        assert score == pytest.approx(2 ** (-mean / forest.mean_length))
+
+
+def test_without_labels_or_variety_only_the_base_rejects(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, quality int")
+    for rows in ([(1, prose(1, 80))] * 3, corpus()):
+        judged = rules.judge(documents(spark, rows), empty).collect()
+        assert all(r.kept is not r.base_failed for r in judged)
+    assert rules.judge(documents(spark, []), empty).collect() == []
+
+
+def test_threshold_keeps_its_promise(spark):
+    scored = spark.range(1000).selectExpr("id as doc_id", "id / 1000.0D as anomaly")
+    known = spark.range(1000).selectExpr("id as doc_id", "1 as quality")
+    threshold = rules.calibrated_threshold(scored, known, 0.01)
+    assert 0.985 <= threshold <= 0.995
+    none = rules.calibrated_threshold(scored, known.where("quality = 0"), 0.01)
+    assert none == math.inf
