@@ -33,7 +33,7 @@ STATS = (
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SAMPLE_ROWS = 8192
-MAX_GOOD_LOSS = 0.001
+MAX_GOOD_LOSS = 0.005
 _TREES, _ROWS_PER_TREE, _DEPTH = 128, 256, 8
 _BINS = 4096
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -224,16 +224,18 @@ def judge(
 
     The base rules fail texts with few words or with too many words in repeated windows; null and
     empty texts have no words. The forest is grown on at most `sample` rows of `docs`; the score at
-    which documents go is set on all labelled rows of `docs`, labels without document and null
-    labels aside; if a document has several quality labels the largest counts. Repeated rows are
+    which documents go is set on all labelled rows that pass the base rules, labels without document
+    and null labels aside; if a document has several quality labels the largest counts. Repeated rows are
     judged alike, rows without id get no label. An empty table gives no rows."""
     stats = stored(rule_stats(docs), "rule-stats")
     drawn = sample_rows(stats.select(*STATS), sample, *STATS).toPandas()
     forest = grow_forest(drawn.to_numpy(np.int64).reshape(-1, len(STATS)))
     fields = [*stats.schema.fields, field("anomaly", T.DoubleType())]
-    scored = stored(map_batches(stats, _score_batches, fields, forest=forest), "anomalies")
-    threshold = calibrated_threshold(scored, labels.select("doc_id", "quality"), max_good_loss)
     repeated = F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
-    return scored.withColumn(
+    scored = map_batches(stats, _score_batches, fields, forest=forest).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | repeated
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
+    )
+    scored = stored(scored, "anomalies")
+    passed = scored.where(~F.col("base_failed"))
+    threshold = calibrated_threshold(passed, labels.select("doc_id", "quality"), max_good_loss)
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") < threshold))
