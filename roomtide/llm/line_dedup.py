@@ -158,7 +158,8 @@ def _settled(streamed: DataFrame, min_documents: int) -> DataFrame:
         .agg(F.sum("docs").alias("total"), F.max("doc_id").alias("top"))
         .where(F.col("total") >= min_documents)
     )
-    undecided = streamed.where(F.col("kind") == _OPEN).join(runs, keys)
+    # At most two summaries for each task of the sort, whatever the number of lines.
+    undecided = streamed.where(F.col("kind") == _OPEN).join(F.broadcast(runs), keys)
     found = ["doc_id", "text_hash", "positions", "n_lines"]
     return (
         streamed.where(F.col("kind") == _GOES)
