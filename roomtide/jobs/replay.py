@@ -1,9 +1,13 @@
 """Raw CSV files -> messages, published in replay order.
 
-Messages go to Kafka, or with --to to a Parquet folder together with their send offsets.
+Messages go to Kafka, or with --to to a Parquet folder together with their send offsets. Many tasks
+publish side by side, so a sink sees the order of a replay only in part; every message carries its
+`position` (a header in Kafka, a column in Parquet), which restores it for a key and for the whole.
+At the end the job reports how many messages were sent and how many raw rows were rejected.
 """
 
 import argparse
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +16,16 @@ from roomtide.config import Settings
 from roomtide.operators import messages, replay
 from roomtide.session import build_session
 from roomtide.sources import kafka, raw_csv
+from roomtide.sources.scratch import scratch_scope, stored
+
+
+def raw_rows(spark: SparkSession, settings: Settings) -> DataFrame:
+    return raw_csv.read_rows(spark, settings.raw_path, settings.rooms, settings.sensors)
 
 
 def scheduled_messages(spark: SparkSession, settings: Settings) -> DataFrame:
     """The messages of the wanted files with their position and send offset."""
-    rows = raw_csv.read_rows(spark, settings.raw_path, settings.rooms, settings.sensors)
-    readings = messages.to_readings(rows)
+    readings = messages.to_readings(raw_rows(spark, settings))
     if settings.replay_mode == "rate":
         schedule = replay.rate(readings, settings.rate_per_second)
     else:
@@ -25,7 +33,18 @@ def scheduled_messages(spark: SparkSession, settings: Settings) -> DataFrame:
     return messages.to_messages(schedule, settings.topic_by_sensor, settings.default_topic)
 
 
-def main(argv: Sequence[str] | None = None) -> None:
+def report(spark: SparkSession, settings: Settings, sent: DataFrame) -> dict:
+    """Messages per sensor type and in total, and raw rows that gave none."""
+    counts = messages.message_counts(sent).collect()
+    rejected = messages.rejected_by_sensor(raw_rows(spark, settings)).collect()
+    return {
+        "sent": {r.sensor: r.nb_messages for r in counts if not r.is_total},
+        "total": sum(r.nb_messages for r in counts if r.is_total),
+        "rejected": {r.sensor: r.nb_rejected for r in rejected},
+    }
+
+
+def main(argv: Sequence[str] | None = None) -> dict:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--to", help="write a Parquet folder instead of publishing")
     args = parser.parse_args(argv)
@@ -33,11 +52,17 @@ def main(argv: Sequence[str] | None = None) -> None:
     spark = build_session(
         "replay", settings, packages=[] if args.to else [settings.kafka_package]
     )
-    sent = scheduled_messages(spark, settings)
-    if args.to:
-        sent.write.parquet(args.to)
-    else:
-        kafka.publish(messages.as_kafka(sent), settings)
+    with scratch_scope(spark, "replay"):
+        sent = scheduled_messages(spark, settings)
+        if args.to:
+            sent.write.parquet(args.to)
+            sent = spark.read.parquet(args.to)
+        else:
+            sent = stored(sent, "messages")
+            kafka.publish(messages.as_kafka(sent), settings)
+        counted = report(spark, settings, sent)
+    print(json.dumps(counted))
+    return counted
 
 
 if __name__ == "__main__":

@@ -14,12 +14,13 @@ from roomtide.functions.timeline import epoch_seconds
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    return rows.withColumns(
-        {
-            "epoch": text.finite_number(F.col("ts_raw")),
-            "number": text.number(F.col("value_raw")),
-        }
+    """Each text is parsed once: a filter on columns that a generator makes stays above it, while
+    one on projected columns would be pushed down together with a copy of the parsing."""
+    parsed = F.struct(
+        text.finite_number(F.col("ts_raw")).alias("epoch"),
+        text.number(F.col("value_raw")).alias("number"),
     )
+    return rows.select("*", F.inline(F.array(parsed)))
 
 
 def _usable() -> Column:
@@ -60,11 +61,23 @@ def to_messages(
 
 
 def as_kafka(messages_: DataFrame) -> DataFrame:
-    """The three columns a Kafka sink takes."""
-    return messages_.select("topic", "key", F.col("json").alias("value"))
+    """The columns a Kafka sink takes.
+
+    Tasks publish side by side, so messages of one key may arrive out of order; the header
+    `position` is the place of a message in the whole replay, by which a reader restores the order.
+    """
+    place = F.struct(
+        F.lit("position").alias("key"),
+        F.col("position").cast("string").cast("binary").alias("value"),
+    )
+    return messages_.select("topic", "key", F.col("json").alias("value"), F.array(place).alias("headers"))
 
 
 def message_counts(readings: DataFrame) -> DataFrame:
-    """Messages per sensor type, and in total on the row whose sensor is NULL."""
+    """Messages per sensor type, and in total on the row where `is_total` is set."""
     per_sensor = readings.groupBy("sensor").agg(F.count("*").alias("n"))
-    return per_sensor.rollup("sensor").agg(F.sum("n").alias("nb_messages"))
+    counted = per_sensor.rollup("sensor").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("nb_messages"),
+        (F.grouping("sensor") == 1).alias("is_total"),
+    )
+    return counted.select("sensor", "is_total", "nb_messages")

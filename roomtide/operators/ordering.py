@@ -2,7 +2,8 @@
 
 A window over a whole stream, or over all rows, puts that stream in one task. Here the order is
 cut into chunks of bounded size: windows run inside a chunk, a table with one row per chunk
-carries the totals of the earlier chunks, and the two are joined on the chunk.
+carries the totals of the earlier chunks, and the two are joined on the chunk. The rows are
+written between the two steps, so that they are read and shuffled once.
 """
 
 from __future__ import annotations
@@ -43,18 +44,54 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add the position of each row in the given order, from 1. One shuffle, the sort."""
     staged = stage_sorted(df, order)
     earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # The one step in a single task: it has a row per task of the sort.
     starts = (
         staged.groupBy("chunk")
         .agg(F.count("*").alias("rows"))
         .select("chunk", _or_zero(F.sum("rows").over(earlier)).alias("start"))
     )
-    # One row per task of the sort, so its size is bounded by spark.sql.shuffle.partitions.
-    numbered = staged.join(F.broadcast(starts), "chunk")
+    numbered = staged.join(stored(starts, "chunk-starts"), "chunk")
     return numbered.withColumn(name, F.col("start") + F.col("chunk_row") + 1).drop(
         "chunk", "chunk_row", "start"
     )
 
 
+def within_pieces(df: DataFrame, key: str, order: Sequence[str], chunk: str) -> DataFrame:
+    """Add what a row's own piece of its stream says: `piece_round` and `piece_elapsed` up to the
+    row, and on the last row of the piece `first_ts`, the piece's first `ts`. One shuffle."""
+    piece = Window.partitionBy(key, chunk).orderBy(*order)
+    so_far = piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # greatest() skips NULL, so a first row steps by 0.
+    step = F.greatest(F.col("ts") - F.lag("ts").over(piece), F.lit(0))
+    is_last = F.lead(F.lit(True)).over(piece).isNull()
+    local = df.withColumns(
+        {
+            "piece_round": F.row_number().over(piece),
+            "step": step,
+            "piece_start": F.first("ts").over(so_far),
+            "is_last": is_last,
+        }
+    )
+    return local.withColumn("piece_elapsed", F.sum("step").over(so_far)).drop("step")
+
+
+def carried_totals(local: DataFrame, key: str, chunk: str) -> DataFrame:
+    """What the earlier pieces of a stream add to a piece: one row for each piece."""
+    ends = local.where("is_last")
+    stream = Window.partitionBy(key).orderBy(chunk)
+    earlier = stream.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    jump = F.greatest(F.col("piece_start") - F.lag("ts").over(stream), F.lit(0))
+    return ends.withColumn("jump", jump).select(
+        key,
+        chunk,
+        _or_zero(F.sum("piece_round").over(earlier)).alias("rounds_before"),
+        (
+            _or_zero(F.sum("piece_elapsed").over(earlier)) + F.sum("jump").over(so_far)
+        ).alias("elapsed_before"),
+    )
+
+
 def along_streams(
     df: DataFrame, key: str, order: Sequence[str], chunk: str | None = None
 ) -> DataFrame:
@@ -70,40 +107,10 @@ def along_streams(
         added, chunk = ["chunk"], "chunk"
     else:
         added = []
-    pieces = [key, chunk]
-    piece = Window.partitionBy(*pieces).orderBy(*order)
-    # greatest() skips NULL, so a first row steps by 0.
-    step = F.greatest(F.col("ts") - F.lag("ts").over(piece), F.lit(0))
-    local = df.withColumns({"piece_round": F.row_number().over(piece), "step": step}).withColumn(
-        "piece_elapsed",
-        F.sum("step").over(piece.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    )
-
-    place = F.struct(*order)
-    ends = local.groupBy(*pieces).agg(
-        F.count("*").alias("rows"),
-        F.max("piece_elapsed").alias("seconds"),
-        F.min_by("ts", place).alias("first_ts"),
-        F.max_by("ts", place).alias("last_ts"),
-    )
-    stream = Window.partitionBy(key).orderBy(chunk)
-    earlier = stream.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = stream.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    jump = F.greatest(F.col("first_ts") - F.lag("last_ts").over(stream), F.lit(0))
-    carried = ends.withColumn("jump", jump).select(
-        *pieces,
-        _or_zero(F.sum("rows").over(earlier)).alias("rounds_before"),
-        (
-            _or_zero(F.sum("seconds").over(earlier)) + F.sum("jump").over(so_far)
-        ).alias("elapsed_before"),
-    )
-    return (
-        local.join(carried, pieces)
-        .withColumns(
-            {
-                "round": F.col("piece_round") + F.col("rounds_before"),
-                "elapsed": F.col("piece_elapsed") + F.col("elapsed_before"),
-            }
-        )
-        .select(*[c for c in df.columns if c not in added], "round", "elapsed")
+    local = stored(within_pieces(df, key, order, chunk), "pieces")
+    carried = stored(carried_totals(local, key, chunk), "piece-totals")
+    return local.join(carried, [key, chunk]).select(
+        *[c for c in df.columns if c not in added],
+        (F.col("piece_round") + F.col("rounds_before")).alias("round"),
+        (F.col("piece_elapsed") + F.col("elapsed_before")).alias("elapsed"),
     )

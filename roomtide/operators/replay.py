@@ -17,11 +17,6 @@ from roomtide.sources.scratch import stored
 
 FILE_ORDER = ("split", "line")
 
-# Streams up to this number are few enough to send their start times to every executor
-# (about 20 MB of paths); beyond it the general schedule gives the same result.
-_BROADCAST_STREAMS = 100_000
-
-
 def _at_least_one(setting: float) -> float:
     return max(float(setting), 1.0)
 
@@ -43,16 +38,13 @@ def timewarp(
 def timewarp_by_time(readings: DataFrame, factor: float) -> DataFrame:
     """`timewarp` with each stream in order of `ts`, which is how sorted files are replayed.
 
-    Then no step goes back and the steps add up to `ts` minus the first `ts` of the stream:
-    one small aggregate instead of a sort.
+    Then no step goes back and the steps add up to `ts` minus the first `ts` of the stream: one
+    small aggregate, written so that the join knows its size, instead of a sort.
     """
     starts = stored(
         readings.groupBy("path").agg(F.min("ts").alias("first_ts")), "stream-starts"
     )
-    if starts.limit(_BROADCAST_STREAMS + 1).count() > _BROADCAST_STREAMS:
-        return timewarp(readings, factor, order=("ts", *FILE_ORDER), chunk=None)
-    started = readings.join(F.broadcast(starts), "path")
-    moved = started.select(
+    moved = readings.join(starts, "path").select(
         *readings.columns, (F.col("ts") - F.col("first_ts")).alias("elapsed")
     )
     return moved.withColumn("send_offset", F.col("elapsed") / _at_least_one(factor))

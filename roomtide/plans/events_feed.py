@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from roomtide.config import child
 from roomtide.functions import messages
 from roomtide.functions.lookup import lookup
-from roomtide.functions.timeline import seconds_to_timestamp
 
-_EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 _FIRST_EVENT, _FIRST_READING, _SPEED = 1_704_067_200, 1_377_216_000, 10
 
-# Rows per piece of a replayed file, standing in for the byte splits of a CSV scan.
-_SPLIT_ROWS = 4096
+# Rows per part file of an entry, so that an entry has several splits.
+_PART_ROWS = 256
 
 _FILE_NAMES = {
     "co2": "CO2",
@@ -32,12 +31,12 @@ _FILE_NAMES = {
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(_EVENTS).parquet(child(sf_dir, "events.parquet"))
+    return spark.read.schema(EVENTS).parquet(child(sf_dir, "events.parquet"))
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows as a file stream; the glob also matches a folder of part files."""
-    return spark.readStream.schema(_EVENTS).parquet(child(sf_dir, "events.parquet*"))
+    return spark.readStream.schema(EVENTS).parquet(child(sf_dir, "events.parquet*"))
 
 
 def _sensor(fold: Column) -> Column:
@@ -81,24 +80,6 @@ def readings(event_rows: DataFrame) -> DataFrame:
     )
 
 
-def bronze(event_rows: DataFrame) -> DataFrame:
-    """The readings as the bronze table holds them."""
-    event_ts = seconds_to_timestamp(F.col("ts"))
-    return readings(event_rows).select(
-        "room",
-        "sensor",
-        F.col("ts").alias("ts_unix"),
-        "value",
-        messages.message_topic(F.col("sensor")).alias("topic"),
-        (F.col("event_id") % 3).cast("int").alias("partition"),
-        F.col("event_id").alias("offset"),
-        F.col("logged").alias("kafka_ts"),
-        event_ts.alias("event_ts"),
-        F.to_date(event_ts).alias("event_date"),
-        F.current_timestamp().alias("ingest_ts"),
-    )
-
-
 def envelope(event_rows: DataFrame) -> DataFrame:
     """The readings as the message log delivers them."""
     room, sensor = F.col("room"), F.col("sensor")
@@ -136,25 +117,15 @@ def raw_files(event_rows: DataFrame) -> DataFrame:
     )
 
 
-def raw_rows(event_rows: DataFrame) -> DataFrame:
-    """`raw_files` in the columns of `raw_csv.read_rows`, without writing files."""
-    return raw_files(event_rows).where(F.col("sensor") != "noise").select(
-        "room",
-        "sensor",
-        F.concat_ws("/", "room", "file").alias("path"),
-        F.floor(F.col("line") / _SPLIT_ROWS).alias("split"),
-        "line",
-        "ts_raw",
-        "value_raw",
-    )
-
-
 def write_raw_files(event_rows: DataFrame, root: str) -> None:
-    """The raw rows as CSV entries `<root>/room=<room>/file=<name>.csv`."""
+    """The raw rows as CSV entries `<root>/room=<room>/file=<name>.csv`: folders of part files whose
+    names, and the lines in them, are in line order."""
     (
         raw_files(event_rows)
+        .repartition("room", "file")
+        .sortWithinPartitions("room", "file", "line")
         .drop("sensor", "line")
-        .hint("rebalance", "room", "file")
-        .write.partitionBy("room", "file")
+        .write.option("maxRecordsPerFile", _PART_ROWS)
+        .partitionBy("room", "file")
         .csv(root)
     )

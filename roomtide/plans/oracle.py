@@ -243,6 +243,9 @@ SQL: dict[str, str] = {
     "gold_daily_table": _DAILY_ROWS,
     "gold_one_date": _with(_DAILY, "SELECT * FROM daily WHERE event_date = DATE '2013-08-24'"),
     "gold_appended": _with(_DAILY, "SELECT * FROM daily UNION ALL SELECT * FROM daily"),
+    "gold_day_removed": _with(
+        _DAILY, "SELECT * FROM daily WHERE event_date != DATE '2013-08-24'"
+    ),
     "rooms": _with(
         _SILVER,
         """
@@ -277,6 +280,9 @@ SQL: dict[str, str] = {
         """,
     ),
     "csv_ingest": _with(_RAW, "SELECT room, sensor, ts, value FROM readings"),
+    "csv_no_match": _with(
+        _RAW, "SELECT room, sensor, ts, value FROM readings WHERE room = 'no such room'"
+    ),
     "csv_allow_list": _with(
         _RAW,
         """
@@ -310,24 +316,28 @@ SQL: dict[str, str] = {
         _RAW,
         """
         SELECT 'iot.' || sensor AS topic, room || ':' || sensor AS key, ts, value,
-               (ts - min(ts) OVER (PARTITION BY path)) / CAST(10 AS DOUBLE) AS send_offset
-        FROM readings
+               row_number() OVER (ORDER BY elapsed, path, line) AS position
+        FROM warped
         """,
     ),
     "message_counts": _with(
-        _RAW, "SELECT sensor, count(*) AS nb_messages FROM readings GROUP BY ROLLUP (sensor)"
+        _RAW,
+        """
+        SELECT sensor, grouping(sensor) = 1 AS is_total, count(*) AS nb_messages
+        FROM readings GROUP BY ROLLUP (sensor)
+        """,
     ),
     "replay_timewarp": _with(
         _RAW,
         """
-        SELECT room, sensor, line, ts, value, elapsed / CAST(10 AS DOUBLE) AS send_offset
+        SELECT room, sensor, ts, value, elapsed / CAST(10 AS DOUBLE) AS send_offset
         FROM warped
         """,
     ),
     "replay_timewarp_by_time": _with(
         _RAW,
         """
-        SELECT room, sensor, line, ts, value,
+        SELECT room, sensor, ts, value,
                (ts - min(ts) OVER (PARTITION BY path)) / CAST(10 AS DOUBLE) AS send_offset
         FROM readings
         """,
@@ -335,7 +345,7 @@ SQL: dict[str, str] = {
     "replay_merged": _with(
         _RAW,
         """
-        SELECT room, sensor, line, ts, value, elapsed / CAST(10 AS DOUBLE) AS send_offset,
+        SELECT room, sensor, ts, value, elapsed / CAST(10 AS DOUBLE) AS send_offset,
                row_number() OVER (ORDER BY elapsed, path, line) AS position
         FROM warped
         """,
@@ -345,7 +355,7 @@ SQL: dict[str, str] = {
         """
         SELECT *, (position - 1) / CAST(5 AS DOUBLE) AS send_offset
         FROM (
-          SELECT room, sensor, line, ts, value, round,
+          SELECT room, sensor, ts, value, round,
                  row_number() OVER (ORDER BY round, path) AS position
           FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS round
                 FROM readings)

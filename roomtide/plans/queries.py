@@ -61,7 +61,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_bronze(feed.envelope(_events(spark, sf_dir)))
+    """Bronze rows straight from messages, so of no file."""
+    bronze = to_bronze(feed.envelope(_events(spark, sf_dir)))
+    return bronze.withColumn("source_file", F.lit(None).cast("string"))
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,18 +71,25 @@ def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _silver_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver from bronze columns. Queries that filter use this one: pushed below the JSON
-    parsing of a fresh envelope, a filter would parse each message once more."""
-    return to_silver(feed.bronze(_events(spark, sf_dir)))
+    """A silver table, written from messages through bronze and read back from its root."""
+    root = scratch_path(spark, "silver")
+    tables.write_partitioned(_silver(spark, sf_dir), root)
+    return tables.read_silver(spark, root)
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly_metrics(_silver(spark, sf_dir))
 
 
+def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch_path(spark, "raw")
+    feed.write_raw_files(_events(spark, sf_dir), root)
+    return root
+
+
 def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings of raw rows held in a table, as a scan of files would deliver them."""
-    return messages.to_readings(stored(feed.raw_rows(_events(spark, sf_dir)), "raw-rows"))
+    """Readings of raw CSV files, each cut into several splits."""
+    return messages.to_readings(raw_csv.read_rows(spark, _raw_folder(spark, sf_dir)))
 
 
 def envelope_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +112,14 @@ def bronze_unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unparsed_by_topic(to_bronze(damaged))
 
 
+def _run_bronze(spark: SparkSession, envelope: DataFrame, root: str, checkpoint: str) -> None:
+    layers.start_bronze(envelope, root, checkpoint, available_now=True).awaitTermination()
+
+
 def _streamed_bronze(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "bronze")
     envelope = feed.envelope(feed.events_stream(pin_utc(spark), sf_dir))
-    layers.start_bronze(
-        envelope, root, scratch_path(spark, "bronze-checkpoint"), available_now=True
-    ).awaitTermination()
+    _run_bronze(spark, envelope, root, scratch_path(spark, "bronze-checkpoint"))
     return root
 
 
@@ -117,11 +128,17 @@ def bronze_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bronze_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream is started again from its checkpoint and finds nothing new."""
-    root, checkpoint = scratch_path(spark, "bronze"), scratch_path(spark, "bronze-checkpoint")
-    for _ in range(2):
-        envelope = feed.envelope(feed.events_stream(pin_utc(spark), sf_dir))
-        layers.start_bronze(envelope, root, checkpoint, available_now=True).awaitTermination()
+    """Half of the messages arrive before the stream first runs, the others before it is started
+    again from its checkpoint; a third start finds nothing new."""
+    log, root, checkpoint = (
+        scratch_path(spark, name) for name in ("log", "bronze", "bronze-checkpoint")
+    )
+    half = F.col("event_id") % 2
+    for arriving in (half == 0, half != 0, None):
+        if arriving is not None:
+            _events(spark, sf_dir).where(arriving).write.mode("append").parquet(log)
+        source = spark.readStream.schema(feed.EVENTS).parquet(log)
+        _run_bronze(spark, feed.envelope(source), root, checkpoint)
     return _shown(tables.read_bronze(spark, root))
 
 
@@ -212,6 +229,16 @@ def gold_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_shown(tables.read_daily(spark, days)))
 
 
+def gold_day_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day goes from silver after gold was made, and is refreshed."""
+    silver, hourly, days = (scratch_path(spark, name) for name in ("silver", "hourly", "daily"))
+    rows = _silver(spark, sf_dir)
+    for kept in (rows, rows.where(F.col("event_date") != F.lit(_DATE).cast("date"))):
+        tables.write_partitioned(kept, silver, whole=True)
+        refresh_gold(spark, silver, hourly, days, None if kept is rows else _DATE)
+    return _rounded(_shown(tables.read_daily(spark, days)))
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.rooms(_silver_table(spark, sf_dir))
 
@@ -242,17 +269,17 @@ def readings_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(page)
 
 
-def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
-    root = scratch_path(spark, "raw")
-    feed.write_raw_files(_events(spark, sf_dir), root)
-    return root
-
-
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw_csv.read_rows(spark, _raw_folder(spark, sf_dir))
     return messages.to_readings(rows).select("room", "sensor", "ts", "value")
 
 
+def csv_no_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A room that no file is of."""
+    rows = raw_csv.read_rows(spark, _raw_folder(spark, sf_dir), rooms=["no such room"])
+    return messages.to_readings(rows).select("room", "sensor", "ts", "value")
+
+
 def csv_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw_csv.read_rows(
         spark, _raw_folder(spark, sf_dir), rooms=["101", "103", "105"], sensors=["CO2", "pir"]
@@ -277,14 +304,15 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From raw files to published messages: ingested, scheduled, written and read back."""
-    readings = messages.to_readings(raw_csv.read_rows(spark, _raw_folder(spark, sf_dir)))
-    schedule = replay.timewarp_by_time(readings, _TIMEWARP_FACTOR)
-    sent = messages.to_messages(schedule).select("topic", "key", "json", "send_offset")
-    log = stored(sent, "log")
-    payload = F.from_json("json", schemas.PAYLOAD).alias("payload")
-    return log.select("topic", "key", payload, "send_offset").select(
-        "topic", "key", "payload.ts", "payload.value", "send_offset"
+    """From raw files to published messages as the replay job makes them: ingested, scheduled in
+    file order, put in one sequence, written and read back."""
+    schedule = replay.merged(replay.timewarp(_readings(spark, sf_dir), _TIMEWARP_FACTOR))
+    sent = messages.to_messages(schedule)
+    log = stored(messages.as_kafka(sent), "log")
+    payload = F.from_json("value", schemas.PAYLOAD).alias("payload")
+    place = F.col("headers")[0]["value"].cast("string").cast("bigint").alias("position")
+    return log.select("topic", "key", payload, place).select(
+        "topic", "key", "payload.ts", "payload.value", "position"
     )
 
 
@@ -293,7 +321,7 @@ def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _schedule_shown(schedule: DataFrame) -> DataFrame:
-    return schedule.drop("split", "path", "elapsed")
+    return schedule.drop("split", "line", "path", "elapsed")
 
 
 def replay_timewarp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,12 +361,14 @@ ALL: dict[str, Query] = {
         gold_daily_table,
         gold_one_date,
         gold_appended,
+        gold_day_removed,
         rooms,
         sensor_types,
         sensor_types_any_date,
         readings_default,
         readings_filtered,
         csv_ingest,
+        csv_no_match,
         csv_allow_list,
         csv_rejected,
         csv_streams,

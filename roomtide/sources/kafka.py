@@ -8,12 +8,16 @@ from roomtide.config import Settings
 
 
 def source_options(settings: Settings) -> dict[str, str]:
-    return {
+    """With a bound on the offsets of a batch, a backlog is taken in several batches, in full."""
+    options = {
         "kafka.bootstrap.servers": settings.kafka_bootstrap,
         "subscribe": settings.kafka_topics,
         "startingOffsets": "earliest",
         "failOnDataLoss": "false",
     }
+    if settings.max_offsets_per_trigger:
+        options["maxOffsetsPerTrigger"] = str(settings.max_offsets_per_trigger)
+    return options
 
 
 def sink_options(settings: Settings) -> dict[str, str]:
@@ -31,9 +35,10 @@ def read_message_stream(spark: SparkSession, settings: Settings) -> DataFrame:
 
 
 def publish(messages: DataFrame, settings: Settings) -> None:
-    """Send (topic, key, value) rows; the topic column routes each message."""
+    """Send (topic, key, value, headers) rows; the topic column routes each message. Tasks send
+    side by side: see `messages.as_kafka` for what restores the order."""
     (
-        messages.select("topic", "key", "value")
+        messages.select("topic", "key", "value", "headers")
         .write.format("kafka")
         .options(**sink_options(settings))
         .save()

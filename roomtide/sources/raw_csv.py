@@ -1,11 +1,12 @@
 """Raw readings: header-less CSV entries `<root>/<room>/<file>.csv` with epoch and value.
 
-An entry is a plain file or a folder of part files as Spark writes them. A `name=` prefix on
-the room or file level, which a partitioned write adds, is not part of the name.
+An entry is a plain file or a folder of part files as Spark writes them. A `room=` or `file=`
+prefix, which a write partitioned by these columns adds, is not part of the name.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Sequence
 
@@ -17,11 +18,13 @@ from roomtide import schemas
 from roomtide.config import child
 from roomtide.functions import text
 
-_PART_FILE = r"(?<=\.csv)/[^/]*$"
-_PREFIX = r"^[A-Za-z_]+="
+log = logging.getLogger(__name__)
 
-# About 40 MB of paths.
-BROADCAST_FILES = 100_000
+_PART_FILE = r"(?<=\.csv)/[^/]*$"
+_PREFIX = r"^(?:room|file)="
+_SPLIT = "struct<file: string, start: bigint>"
+_ENTRY = "room string, sensor string, path string"
+_ROW = f"{_ENTRY}, split {_SPLIT}, line bigint, ts_raw string, value_raw string"
 
 
 def _any_case(word: str) -> str:
@@ -33,7 +36,7 @@ def _glob(root: str, rooms: Sequence[str], sensors: Sequence[str]) -> str:
     room_level = name_level = "*"
     if rooms:
         names = [re.sub(r"([*?\[\]{},\\])", r"\\\1", room) for room in rooms]
-        room_level = "{" + ",".join([*names, *(f"*={name}" for name in names)]) + "}"
+        room_level = "{" + ",".join([*names, *(f"room={name}" for name in names)]) + "}"
     aliases = [a for s in sensors for a in C.FILE_NAME_ALIASES.get(s.lower(), [])]
     if aliases:
         name_level = "{" + ",".join(f"*{_any_case(alias)}*" for alias in aliases) + "}"
@@ -63,52 +66,51 @@ def _wanted(df: DataFrame, rooms: Sequence[str], sensors: Sequence[str]) -> Data
     return df
 
 
-def _files(
-    spark: SparkSession, root: str, rooms: Sequence[str], sensors: Sequence[str]
-) -> DataFrame:
-    listed = spark.read.format("binaryFile").load(_glob(root, rooms, sensors))
-    paths = listed.select(F.col("_metadata.file_path").alias("file_path"))
-    return _wanted(_described(paths), rooms, sensors)
+def _any_file(spark: SparkSession, glob: str) -> bool:
+    """Whether the store has an entry of that name; only names are looked at."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        log.warning("no entry matches %s", glob)
+    return bool(found)
 
 
 def list_entries(
     spark: SparkSession, root: str, rooms: Sequence[str] = (), sensors: Sequence[str] = ()
 ) -> DataFrame:
-    """(room, sensor, path) of each entry in path order. No file content is read."""
-    files = _files(spark, root, rooms, sensors)
+    """(room, sensor, path) of each entry in path order; none if no entry matches. No file content
+    is read."""
+    glob = _glob(root, rooms, sensors)
+    if not _any_file(spark, glob):
+        return spark.createDataFrame([], _ENTRY)
+    listed = spark.read.format("binaryFile").load(glob)
+    paths = listed.select(F.col("_metadata.file_path").alias("file_path"))
+    files = _wanted(_described(paths), rooms, sensors)
     return files.select("room", "sensor", "path").distinct().orderBy("path")
 
 
 def read_rows(
-    spark: SparkSession,
-    root: str,
-    rooms: Sequence[str] = (),
-    sensors: Sequence[str] = (),
-    broadcast_files: int = BROADCAST_FILES,
+    spark: SparkSession, root: str, rooms: Sequence[str] = (), sensors: Sequence[str] = ()
 ) -> DataFrame:
-    """Raw rows (room, sensor, path, split, line, ts_raw, value_raw).
+    """Raw rows (room, sensor, path, split, line, ts_raw, value_raw); none if no entry matches.
 
     `split` and `line` order the rows of a file: the scan cuts a file into splits at byte
     offsets, and line numbers grow within a split. Part files of one entry follow each other
-    in name order.
-
-    What a path says is worked out once per file and looked up per row while the files are few
-    enough to broadcast, and worked out on every row otherwise.
+    in name order. What a path says is worked out on the rows, by a projection of the scan.
     """
+    glob = _glob(root, rooms, sensors)
+    if not _any_file(spark, glob):
+        return spark.createDataFrame([], _ROW)
     split = F.struct(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
     )
-    rows = spark.read.schema(schemas.RAW_ROW).csv(_glob(root, rooms, sensors))
+    rows = spark.read.schema(schemas.RAW_ROW).csv(glob)
     placed = rows.select(
         F.col("_metadata.file_path").alias("file_path"),
         split.alias("split"),
         F.monotonically_increasing_id().alias("line"),
         *rows.columns,
     )
-    files = _files(spark, root, rooms, sensors)
-    if files.limit(broadcast_files + 1).count() <= broadcast_files:
-        described = placed.join(F.broadcast(files), "file_path")
-    else:
-        described = _wanted(_described(placed), rooms, sensors)
+    described = _wanted(_described(placed), rooms, sensors)
     return described.select("room", "sensor", "path", "split", "line", *rows.columns)

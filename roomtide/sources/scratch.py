@@ -10,13 +10,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from roomtide.config import child
 
 
+_scope: ContextVar[str | None] = ContextVar("scratch scope", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
+    scope = _scope.get()
+    if scope:
+        return scope
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = child(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
@@ -29,23 +36,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return child(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as a scratch table and read back with its own schema."""
     spark = df.sparkSession
-    path = child(root, f"{name}-{uuid.uuid4().hex}") if root else scratch_path(spark, name)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession, name: str) -> Iterator[str]:
-    """A folder for the scratch tables of one job, deleted when the job ends.
+    """A folder for all scratch tables made inside, deleted at the end.
 
-    Nothing read from it may be used after the scope: write results elsewhere first.
+    Nothing that still reads them may be used after the scope: write results elsewhere first.
     """
     root = scratch_path(spark, name)
+    token = _scope.set(root)
     try:
         yield root
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scope.reset(token)
+        delete(spark, root)

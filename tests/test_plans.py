@@ -5,12 +5,13 @@ import re
 import pytest
 
 from roomtide import schemas
-from roomtide.operators import replay, serving
+from roomtide.operators import ordering, replay, serving
 from roomtide.operators.daily import daily_by_joins, daily_room_metrics
 from roomtide.operators.hourly import hourly_metrics
 from roomtide.operators.silver import to_silver
 from roomtide.plans import queries
 from roomtide.sources import tables
+from roomtide.sources.scratch import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,19 +96,25 @@ def test_silver_reads_the_bronze_columns_it_needs(spark, tmp_path):
     assert "file_path" in text and "file_size" not in text
 
 
-def test_schedule_shuffles_the_readings_once_in_bounded_groups(spark, readings):
+def test_schedule_scans_and_shuffles_the_readings_once(spark, readings):
+    """Both steps of `along_streams`, whole plans: the first has the only scan and shuffle of the
+    readings; the second, over what the first wrote, moves rows that stand for a whole split."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        text = plan(replay.timewarp(readings, 10))
+        local = ordering.within_pieces(readings, "path", ["split", "line"], "split")
+        assert plan(local).count("FileScan") == 1
+        assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+, (\w+)#", plan(local)) == [("path", "split")]
+        assert plan(local).count("Exchange") == 1 and "SinglePartition" not in plan(local)
+        totals = plan(ordering.carried_totals(stored(local, "local"), "path", "split"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SinglePartition" not in text
-    big_side, small_side = text.split("SortMergeJoin")[1].split("\n         +- ", 1)
-    assert re.findall(r"Exchange hashpartitioning\((\w+)#\d+, (\w+)#", big_side) == [("path", "split")]
-    # By stream alone only rows that stand for a whole split are moved.
-    per_stream = [line for line in text.splitlines() if re.search(r"hashpartitioning\(path#\d+, \d+\)", line)]
-    assert len(per_stream) == 1
-    assert "Aggregate(key" in small_side
+    assert "is_last" in re.search(r"PushedFilters: \[.*?\]", totals).group(0)
+    assert re.findall(r"Exchange hashpartitioning\((.*?)#\d+, \d+\)", totals) == ["path"]
+
+
+def test_schedule_joins_totals_of_known_size(spark, readings):
+    text = plan(replay.timewarp(readings, 10))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
 
 
 def test_schedule_by_time_moves_no_reading(spark, readings):
@@ -115,10 +122,8 @@ def test_schedule_by_time_moves_no_reading(spark, readings):
 
 
 def test_positions_use_one_task_for_chunk_counts_only(spark, readings):
-    text = plan(replay.rate(readings, 5))
-    single = text.index("SinglePartition")
-    assert "HashAggregate(keys=[chunk" in text[single:]
-    assert text.count("SinglePartition") == 1
+    """The counts are written, so the plan of the numbered rows has no single task."""
+    assert "SinglePartition" not in plan(replay.rate(readings, 5))
 
 
 def test_writes_are_rebalanced_by_partition(spark, silver):
@@ -126,6 +131,14 @@ def test_writes_are_rebalanced_by_partition(spark, silver):
     assert re.search(r"Exchange hashpartitioning\(event_date#\d+, \d+\), REBALANCE", plan(grouped))
 
 
+@pytest.mark.parametrize("name", ["rooms", "sensor_types", "readings_default", "readings_filtered"])
+def test_registered_pages_prune_a_stored_table(spark, name):
+    text = scan(queries.ALL[name](spark, SF))
+    assert re.search(r"PartitionFilters:.*event_date.* = 2013-08-2[34]", text)
+    if name.startswith("readings"):
+        assert "EqualTo(is_valid,true)" in text or "EqualTo(room,103)" in text
+
+
 @pytest.mark.parametrize("name", ["silver_repair", "hourly_kpis", "daily_room_metrics", "message_fields",
                                   "replay_rate", "csv_ingest", "readings_filtered"])
 def test_no_python_in_plans(spark, name):

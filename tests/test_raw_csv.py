@@ -46,20 +46,45 @@ EXPECTED = {
 }
 
 
-@pytest.mark.parametrize("broadcast_files", [raw_csv.BROADCAST_FILES, 0])
-def test_readings_of_a_folder(spark, raw, broadcast_files):
-    assert readings(spark, raw, broadcast_files=broadcast_files) == EXPECTED
+def test_readings_of_a_folder(spark, raw):
+    assert readings(spark, raw) == EXPECTED
 
 
-@pytest.mark.parametrize("broadcast_files", [raw_csv.BROADCAST_FILES, 0])
-def test_allow_lists(spark, raw, broadcast_files):
-    few = {"broadcast_files": broadcast_files}
-    assert readings(spark, raw, rooms=["101"], **few) == {r for r in EXPECTED if r[0] == "101"}
-    assert readings(spark, raw, sensors=["PIR", "humidity"], **few) == {
+def test_allow_lists(spark, raw):
+    assert readings(spark, raw, rooms=["101"]) == {r for r in EXPECTED if r[0] == "101"}
+    assert readings(spark, raw, sensors=["PIR", "humidity"]) == {
         r for r in EXPECTED if r[1] in ("pir", "humidity")
     }
     # The name holds an alias of temperature as well, but luminosity is looked for first.
-    assert readings(spark, raw, sensors=["temperature"], **few) == set()
+    assert readings(spark, raw, sensors=["temperature"]) == set()
+
+
+def test_no_entry_matches(spark, raw):
+    empty = raw_csv.read_rows(spark, raw, rooms=["404"])
+    full = raw_csv.read_rows(spark, raw)
+    assert empty.dtypes == full.dtypes
+    assert empty.count() == 0
+    assert raw_csv.list_entries(spark, raw, rooms=["404"]).count() == 0
+    assert raw_csv.read_rows(spark, f"{raw}/nowhere").count() == 0
+
+
+def test_only_partition_names_are_stripped(spark, folder):
+    for room in ("x=5", "room=7"):
+        write(folder, f"{room}/co2.csv", ["10,1"])
+    assert {r[0] for r in readings(spark, folder)} == {"x=5", "7"}
+    assert {r[0] for r in readings(spark, folder, rooms=["x=5"])} == {"x=5"}
+    assert {r[0] for r in readings(spark, folder, rooms=["7"])} == {"7"}
+
+
+def test_reading_and_counting_start_no_job_and_parse_once(spark, raw):
+    spark.sparkContext.setJobGroup("planning", "planning")
+    rows = messages.to_readings(raw_csv.read_rows(spark, raw))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    assert "Join" not in plan and "Exchange" not in plan
+    # Once in the generator; the filter above it only compares.
+    assert plan.count("ts_raw#") and plan.split("Generate inline", 1)[0].count("try_cast") <= 1
 
 
 def test_unwanted_files_are_not_input(spark, raw):
@@ -150,14 +175,17 @@ def test_sensor_names(spark, name, sensor):
 
 def test_messages(spark):
     rows = spark.createDataFrame(
-        [("101", "co2", 1377299108, 488.0), ("102", "pir", 5, 1.0), ("103", "noise", 6, math.nan)],
-        "room string, sensor string, ts bigint, value double",
+        [("205", "co2", 1377301234, 612.5, 1), ("102", "pir", 5, 1.0, 2), ("103", "noise", 6, math.nan, 3)],
+        "room string, sensor string, ts bigint, value double, position bigint",
     )
     sent = messages.as_kafka(messages.to_messages(rows)).collect()
     assert [(m.topic, m.key) for m in sent] == [
-        ("iot.co2", "101:co2"), ("iot.pir", "102:pir"), ("iot.sensor", "103:noise"),
+        ("iot.co2", "205:co2"), ("iot.pir", "102:pir"), ("iot.sensor", "103:noise"),
+    ]
+    assert json.loads(sent[0].value) == {"room": "205", "sensor": "co2", "ts": 1377301234, "value": 612.5}
+    assert [(h.key, bytes(h.value)) for m in sent for h in m.headers] == [
+        ("position", b"1"), ("position", b"2"), ("position", b"3"),
     ]
-    assert json.loads(sent[0].value) == {"room": "101", "sensor": "co2", "ts": 1377299108, "value": 488.0}
     assert '"value":1}' in sent[1].value
     from roomtide.operators.bronze import to_bronze
     from tests.test_bronze_silver import envelope
@@ -172,7 +200,7 @@ def test_own_topics(spark):
 
 
 def test_message_counts(spark):
-    rows = spark.createDataFrame([("co2",), ("co2",), ("pir",)], "sensor string")
+    rows = spark.createDataFrame([("co2",), ("co2",), ("pir",), (None,)], "sensor string")
     assert {tuple(r) for r in messages.message_counts(rows).collect()} == {
-        ("co2", 2), ("pir", 1), (None, 3),
+        ("co2", False, 2), ("pir", False, 1), (None, False, 1), (None, True, 4),
     }

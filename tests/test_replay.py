@@ -1,5 +1,7 @@
 """Schedules against a direct simulation of the two replay modes."""
 
+import json
+import os
 import random
 
 import pytest
@@ -7,8 +9,9 @@ from pyspark.sql import functions as F
 
 from roomtide.config import Settings
 from roomtide.jobs import replay as replay_job
-from roomtide.operators import replay
+from roomtide.operators import messages, replay
 from roomtide.operators.ordering import along_streams, number_rows, stage_sorted
+from roomtide.sources import raw_csv
 from tests.test_raw_csv import write
 
 READING = "room string, sensor string, path string, split bigint, line bigint, ts bigint, value double"
@@ -42,6 +45,14 @@ def elapsed_by_hand(clocks):
     return result
 
 
+def by_time_by_hand(clocks):
+    return {
+        (path, line): ts - min(stream)
+        for path, stream in clocks.items()
+        for line, ts in enumerate(stream)
+    }
+
+
 def turns_by_hand(clocks):
     active, line, sent = sorted(clocks), 0, []
     while active:
@@ -68,6 +79,9 @@ def test_timewarp_and_rate_without_broadcast_joins(spark):
     try:
         moved = replay.timewarp(frame(spark, clocks), 10)
         assert "SortMergeJoin" in moved._jdf.queryExecution().executedPlan().toString()
+        by_time = replay.timewarp_by_time(frame(spark, clocks), 10)
+        assert "SortMergeJoin" in by_time._jdf.queryExecution().executedPlan().toString()
+        assert {(r.path, r.line): r.elapsed for r in by_time.collect()} == by_time_by_hand(clocks)
         assert {(r.path, r.line): r.elapsed for r in moved.collect()} == elapsed_by_hand(clocks)
         turns = replay.rate(frame(spark, clocks), 5).orderBy("position").collect()
         assert [(r.path, r.line) for r in turns] == turns_by_hand(clocks)
@@ -87,16 +101,10 @@ def test_factors_and_rates_below_one_count_as_one(spark):
     assert replay.rate(readings, 0.5).agg(F.max("send_offset")).first()[0] == 1.0
 
 
-@pytest.mark.parametrize("few", [100_000, 0])
-def test_timewarp_by_time(spark, monkeypatch, few):
-    monkeypatch.setattr(replay, "_BROADCAST_STREAMS", few)
+def test_timewarp_by_time(spark):
     clocks = streams(3)
     got = replay.timewarp_by_time(frame(spark, clocks), 10).collect()
-    assert {(r.path, r.line): r.elapsed for r in got} == {
-        (path, line): ts - min(stream)
-        for path, stream in clocks.items()
-        for line, ts in enumerate(stream)
-    }
+    assert {(r.path, r.line): r.elapsed for r in got} == by_time_by_hand(clocks)
 
 
 def test_merged_sequence(spark):
@@ -162,7 +170,10 @@ def test_replay_job(spark, folder, monkeypatch, mode):
     write(folder, "raw/102/temp.csv", ["5,1"])
     for name, value in {"SOURCE_URL": f"{folder}/raw", "REPLAY_MODE": mode, "TIMEWARP_FACTOR": "1"}.items():
         monkeypatch.setenv(name, value)
-    replay_job.main(["--to", f"{folder}/out"])
+    counted = replay_job.main(["--to", f"{folder}/out"])
+    assert counted == {
+        "sent": {"co2": 2, "pir": 3}, "total": 5, "rejected": {"co2": 0, "pir": 1},
+    }
     sent = spark.read.parquet(f"{folder}/out").orderBy("position").collect()
     expected = {
         "rate": ["101:co2", "102:pir", "101:co2", "102:pir", "102:pir"],
@@ -171,3 +182,36 @@ def test_replay_job(spark, folder, monkeypatch, mode):
     assert [r.key for r in sent] == expected[mode]
     assert {r.topic for r in sent} == {"iot.co2", "iot.pir"}
     assert Settings.from_env().sensors == ("co2", "pir")
+
+
+def test_position_restores_the_order_of_a_key(spark, folder):
+    """Rows reach a sink in any order; the header brings those of a key back in order."""
+    for room in ("1", "2"):
+        write(folder, f"{room}/co2.csv", [f"{1000 + 7 * k % 50},{k}" for k in range(200)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        readings = messages.to_readings(raw_csv.read_rows(spark, folder))
+        sent = messages.as_kafka(messages.to_messages(replay.merged(replay.timewarp(readings, 10))))
+        handed = sent.repartition(7).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    random.Random(3).shuffle(handed)
+    handed.sort(key=lambda m: int(bytes(m.headers[0].value)))
+    for key in ("1:co2", "2:co2"):
+        values = [json.loads(m.value)["value"] for m in handed if m.key == key]
+        assert values == list(range(200))
+
+
+def test_a_job_leaves_no_scratch_tables(spark, folder, monkeypatch):
+    write(folder, "raw/101/co2.csv", ["10,1", "30,2"])
+    monkeypatch.setenv("SOURCE_URL", f"{folder}/raw")
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    replay_job.main(["--to", f"{folder}/out"])
+    assert set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
+
+
+def test_an_empty_selection_sends_nothing(spark, folder, monkeypatch):
+    write(folder, "raw/101/co2.csv", ["10,1"])
+    monkeypatch.setenv("SOURCE_URL", f"{folder}/raw")
+    monkeypatch.setenv("ROOMS", "999")
+    assert replay_job.main(["--to", f"{folder}/out"]) == {"sent": {}, "total": 0, "rejected": {}}
