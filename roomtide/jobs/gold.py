@@ -1,6 +1,7 @@
 """Silver table -> hourly and daily KPI tables for one day."""
 
 import argparse
+import json
 from collections.abc import Sequence
 
 from roomtide.config import Settings, iso_date
@@ -16,9 +17,10 @@ def main(argv: Sequence[str] | None = None) -> None:
     day = iso_date(args.day)
     settings = Settings.from_env()
     spark = build_session("gold", settings)
-    refresh_gold(
+    counts = refresh_gold(
         spark, settings.silver_path, settings.hourly_path, settings.daily_path, day, args.mode
     )
+    print(json.dumps({"date": day, **counts}))
 
 
 if __name__ == "__main__":

@@ -63,6 +63,13 @@ def build_session(
     return spark
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Days and hours are those of the session zone, and they must be UTC."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"the session zone must be UTC, not {zone}")
+
+
 def pin_utc(spark: SparkSession) -> SparkSession:
     """Days and hours are UTC; set that on a session somebody else built."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

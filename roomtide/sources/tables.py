@@ -50,12 +50,12 @@ def read_daily(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_partitioned(
-    df: DataFrame, root: str, *partitions: str, mode: str = "overwrite"
+    df: DataFrame, root: str, *partitions: str, mode: str = "overwrite", whole: bool = False
 ) -> None:
     """Write a partitioned table.
 
     "overwrite" replaces only the partitions present in `df`, so running a day again leaves
-    one copy of it; "append" adds a second copy. The rebalance groups rows by partition
+    one copy of it, or with `whole` the table; "append" adds a second copy. The rebalance groups rows by partition
     value to avoid one small file per task and value, and splits values that are too large
     for one task.
     """
@@ -63,7 +63,7 @@ def write_partitioned(
     (
         df.hint("rebalance", *partitions)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy(*partitions)
         .parquet(root)
     )

@@ -174,3 +174,49 @@ def test_gold_job(spark, folder, monkeypatch):
     assert tables.read_daily(spark, f"{folder}/gold/room_daily_metrics").count() == 1
     with pytest.raises(ValueError):
         gold_job.main([])
+
+
+def test_append_scans_silver_once(spark, folder):
+    table, hourly, daily = (f"{folder}/{n}" for n in ("silver", "hourly", "daily"))
+    tables.write_partitioned(silver(spark, [("1", "co2", 5, 1.0), ("2", "pir", 6, 0.0)]), table)
+    for mode in ("overwrite", "append"):
+        counts = refresh_gold(spark, table, hourly, daily, "2013-08-23", mode)
+        # The readings pass the observation as often as silver is scanned.
+        assert counts == {"nb_readings": 2, "nb_undated": 0}
+
+
+def test_a_vanished_day_leaves_gold(spark, folder):
+    table, hourly, daily = (f"{folder}/{n}" for n in ("silver", "hourly", "daily"))
+    day = silver(spark, [("1", "co2", 5, 1.0)])
+    later = day.withColumns(
+        {"event_date": F.date_add("event_date", 1), "ts_utc": F.col("ts_utc") + F.expr("interval 1 day")}
+    )
+    tables.write_partitioned(day.union(later), table)
+    refresh_gold(spark, table, hourly, daily)
+    tables.write_partitioned(day, table, whole=True)
+    refresh_gold(spark, table, hourly, daily, "2013-08-24")
+    for read, root in ((tables.read_hourly, hourly), (tables.read_daily, daily)):
+        assert [r.event_date.day for r in read(spark, root).collect()] == [23]
+
+
+def test_refresh_of_all_days_removes_what_silver_lost(spark, folder):
+    table, hourly, daily = (f"{folder}/{n}" for n in ("silver", "hourly", "daily"))
+    day = silver(spark, [("1", "co2", 5, 1.0)])
+    later = day.withColumns(
+        {"event_date": F.date_add("event_date", 1), "ts_utc": F.col("ts_utc") + F.expr("interval 1 day")}
+    )
+    undated = day.withColumns({"event_date": F.lit(None).cast("date")})
+    tables.write_partitioned(day.union(later).union(undated), table)
+    assert refresh_gold(spark, table, hourly, daily) == {"nb_readings": 3, "nb_undated": 1}
+    tables.write_partitioned(later, table, whole=True)
+    refresh_gold(spark, table, hourly, daily)
+    assert [r.event_date.day for r in tables.read_daily(spark, daily).collect()] == [24]
+
+
+def test_another_zone_is_an_error(spark, folder):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Paris")
+    try:
+        with pytest.raises(ValueError, match="UTC"):
+            refresh_gold(spark, folder, folder, folder)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
