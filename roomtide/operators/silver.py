@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.functions import quality, text
 from roomtide.functions.timeline import seconds_to_timestamp
 
 
-def _repaired(value: Column, fallback: Column) -> Column:
-    return F.when(value.isNotNull(), value).otherwise(fallback)
-
-
 def to_silver(bronze: DataFrame) -> DataFrame:
     """One projection, no shuffle.
 
-    The file a row came from is taken from a `source_file` column where the reader supplied
-    one (see `tables.read_bronze`). Without it Spark's current input file is used.
+    `bronze` must say in `source_file` which file a row came from, as `tables.read_bronze` does;
+    NULL where there is no file.
     """
-    if "source_file" in bronze.columns:
-        source_file = F.col("source_file")
-    else:
-        source_file = F.input_file_name()
+    if "source_file" not in bronze.columns:
+        raise ValueError("bronze rows need a source_file; see tables.read_bronze")
+    source_file = F.col("source_file")
     raw_is_text = dict(bronze.dtypes)["value"] == "string"
     clean = quality.clean_text if raw_is_text else quality.clean_number
 
     repaired = bronze.select(
-        _repaired(F.col("room"), text.room_from_path(source_file)).alias("room"),
-        _repaired(F.lower("sensor"), text.sensor_from_topic(F.col("topic"))).alias("sensor_type"),
+        F.coalesce("room", text.room_from_path(source_file)).alias("room"),
+        F.coalesce(F.lower("sensor"), text.sensor_from_topic(F.col("topic"))).alias("sensor_type"),
         F.col("ts_unix").cast("bigint").alias("ts_unix"),
         F.to_date("event_ts").alias("event_date"),
         F.col("value").cast("string").alias("value_raw"),

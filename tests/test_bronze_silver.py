@@ -37,12 +37,18 @@ def test_envelope_is_decoded(spark):
 
 
 def test_message(spark):
-    row = bronze_row(spark, '{"room": "101", "sensor": "co2", "ts": 1377299108, "value": 488.0}')
-    assert (row.room, row.sensor, row.ts_unix, row.value) == ("101", "co2", 1377299108, 488.0)
+    row = bronze_row(spark, '{"room": "205", "sensor": "humidity", "ts": 1377301234, "value": 41.25}')
+    assert (row.room, row.sensor, row.ts_unix, row.value) == ("205", "humidity", 1377301234, 41.25)
     assert row.event_date == dt.date(2013, 8, 23)
     assert row.kafka_ts == LOGGED
 
 
+def test_bytes_that_are_no_text_do_not_stop_the_job(spark):
+    rows = [(b"\xff", b"\xff\xfe{}", "iot.co2", 0, 0, LOGGED)]
+    row = to_bronze(spark.createDataFrame(rows, schemas.ENVELOPE)).first()
+    assert (row.room, row.value, row.topic) == (None, None, "iot.co2")
+
+
 def test_unparsable_message_is_kept(spark):
     row = bronze_row(spark, "not json")
     assert (row.room, row.sensor, row.ts_unix, row.value, row.event_date) == (None,) * 5
@@ -60,7 +66,8 @@ def test_json_typing(spark):
 
 @pytest.mark.parametrize("ts", [1377299108123456, 9223372036854775807, -(10**15)])
 def test_a_nonsense_clock_does_not_stop_the_job(spark, ts):
-    row = to_silver(to_bronze(envelope(spark, f'{{"room":"1","ts":{ts},"value":1}}'))).first()
+    bronze = to_bronze(envelope(spark, f'{{"room":"1","ts":{ts},"value":1}}'))
+    row = to_silver(bronze.withColumn("source_file", F.lit(None).cast("string"))).first()
     assert (row.ts_unix, row.ts_utc, row.event_date) == (ts, None, None)
 
 
@@ -77,7 +84,10 @@ def silver(spark, room="101", sensor="co2", value=1.0, topic="iot.co2", path="",
 
 
 def test_silver_schema_and_order(spark):
-    df = to_silver(spark.createDataFrame([], schemas.BRONZE))
+    bronze = spark.createDataFrame([], schemas.BRONZE)
+    with pytest.raises(ValueError, match="source_file"):
+        to_silver(bronze)
+    df = to_silver(bronze.withColumn("source_file", F.lit("f")))
     assert [(f.name, f.dataType) for f in df.schema] == [
         (f.name, f.dataType) for f in schemas.SILVER
     ]
@@ -114,7 +124,8 @@ def test_text_values(spark, text, clean):
             for f in schemas.BRONZE
         ]
     )
-    assert to_silver(bronze).first().value_clean == clean
+    row = to_silver(bronze.withColumn("source_file", F.lit(""))).first()
+    assert row.value_clean == clean
 
 
 @pytest.mark.parametrize(
