@@ -31,6 +31,9 @@ class Settings:
     kafka_acks: str = "all"
     kafka_linger_ms: int = 20
     kafka_batch_size: int = 32768
+    # Messages a batch takes at most; what is left waits for the next one. None: no bound.
+    max_offsets_per_trigger: int | None = None
+    bronze_trigger: str = C.BRONZE_TRIGGER
 
     topic_by_sensor: Mapping[str, str] = field(default_factory=lambda: dict(C.TOPICS))
     default_topic: str = C.DEFAULT_TOPIC
@@ -86,6 +89,8 @@ class Settings:
             kafka_acks=env.get("ACKS", base.kafka_acks),
             kafka_linger_ms=int(env.get("LINGER_MS", base.kafka_linger_ms)),
             kafka_batch_size=int(env.get("BATCH_SIZE", base.kafka_batch_size)),
+            max_offsets_per_trigger=int(env.get("MAX_OFFSETS_PER_TRIGGER") or 0) or None,
+            bronze_trigger=env.get("BRONZE_TRIGGER", base.bronze_trigger),
             topic_by_sensor={
                 sensor: env.get(f"TOPIC_{sensor.upper()}", topic)
                 for sensor, topic in C.TOPICS.items()
@@ -123,6 +128,8 @@ def iso_date(value: str | date | None) -> str:
 
 
 def page_size(limit: int, most: int = C.MAX_LIMIT) -> int:
+    """Rows of a page. A limit outside the fixed range is an error; one above the `most` that the
+    settings allow is lowered to it without one, as the interface has it."""
     if not 1 <= limit <= C.MAX_LIMIT:
         raise ValueError(f"limit must lie in 1..{C.MAX_LIMIT}, got {limit}")
     return min(limit, most)

@@ -61,3 +61,6 @@ MILLISECONDS_ABOVE = 1e12
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 1000
 LISTING_DATE = "2013-08-23"
+
+# How often the bronze stream starts a batch.
+BRONZE_TRIGGER = "10 seconds"

@@ -10,7 +10,10 @@ def main() -> None:
     settings = Settings.from_env()
     spark = build_session("bronze", settings, packages=[settings.kafka_package])
     messages = read_message_stream(spark, settings)
-    start_bronze(messages, settings.bronze_path, settings.bronze_checkpoint).awaitTermination()
+    query = start_bronze(
+        messages, settings.bronze_path, settings.bronze_checkpoint, settings.bronze_trigger
+    )
+    query.awaitTermination()
 
 
 if __name__ == "__main__":

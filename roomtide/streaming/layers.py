@@ -3,6 +3,11 @@
 Both are stateless appends, so late rows need no watermark: each goes to the partition of its
 own event date whenever it arrives. Checkpoints live outside the table roots. Each layer reads
 the previous table from its root, which shows committed files only.
+
+A bronze batch writes one file for each task, room, sensor and day in it. The log is partitioned by
+`room:sensor`, so a combination is in one task, and a batch of 255 sensors writes about 255 files. A
+longer trigger interval makes fewer and larger files; `max_files_per_batch` bounds what a silver
+batch lists and reads.
 """
 
 from __future__ import annotations
@@ -11,13 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from roomtide import constants as C
 from roomtide import schemas
 from roomtide.operators.bronze import is_unparsed, to_bronze
 from roomtide.operators.silver import to_silver
 
-BRONZE_TRIGGER = "10 seconds"
-
-
 def append_table(
     rows: DataFrame,
     root: str,
@@ -49,7 +52,7 @@ def start_bronze(
     envelope: DataFrame,
     root: str,
     checkpoint: str,
-    trigger: str | None = BRONZE_TRIGGER,
+    trigger: str | None = C.BRONZE_TRIGGER,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Bronze stream; each batch's progress reports its message and unparsed counts."""

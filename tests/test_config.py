@@ -93,3 +93,11 @@ def test_kafka_options():
     assert sink["kafka.acks"] == "all"
     assert sink["kafka.linger.ms"] == "20"
     assert sink["kafka.batch.size"] == "32768"
+
+
+def test_batch_bound_and_trigger_come_from_the_environment():
+    settings = Settings.from_env({"MAX_OFFSETS_PER_TRIGGER": "50000", "BRONZE_TRIGGER": "1 minute"})
+    assert kafka.source_options(settings)["maxOffsetsPerTrigger"] == "50000"
+    assert settings.bronze_trigger == "1 minute"
+    assert "maxOffsetsPerTrigger" not in kafka.source_options(Settings.from_env({}))
+    assert Settings.from_env({}).bronze_trigger == "10 seconds"

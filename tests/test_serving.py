@@ -1,9 +1,11 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.errors import PySparkException
 
 from roomtide import schemas
+from roomtide.jobs import readings as readings_job
 from roomtide.operators import serving
 from roomtide.sources import tables
 
@@ -87,3 +89,12 @@ def test_bad_arguments(silver):
 
 def test_settings_can_lower_the_limit(silver):
     assert serving.readings(silver, "2013-08-23", limit=500, max_limit=2).count() == 2
+
+
+def test_readings_job_obeys_the_configured_limit(spark, silver, folder, monkeypatch, capsys):
+    silver.write.partitionBy(schemas.DATE_PARTITION).parquet(f"{folder}/silver")
+    monkeypatch.setenv("SILVER_PATH", f"{folder}/silver")
+    monkeypatch.setenv("SILVER_MAX_LIMIT", "3")
+    readings_job.main(["--date", "2013-08-23", "--limit", "100"])
+    lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [x["room"] for x in lines] == ["101", "102", "B"]
