@@ -44,6 +44,16 @@ def share(salt: int, *columns: str) -> Column:
     return scaled / float(1 << 30)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """Whole rows in the column `row`, so that no column of theirs can clash with another, next to
+    what tells documents apart: `id` and `hash`, that of the text. Texts are in `row` only, and so
+    are shuffled once."""
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select(
+        F.col("doc_id").alias("id"), text_hash.alias("hash"), F.struct("*").alias("row")
+    )
+
+
 def small_batches(batches: Batches, max_bytes: int = 8 << 20) -> Batches:
     """The same rows in batches of about `max_bytes`, so that what is made of one stays small."""
     for batch in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomtide.llm.common import Batches, field, map_batches, text_bytes
+from roomtide.llm.common import Batches, field, identified, map_batches, text_bytes
 from roomtide.sources.scratch import stored
 
 MIN_CHARS = 40
@@ -224,14 +224,12 @@ def keep_bitmaps(
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Every row of `docs` with its `__bitmap`, null where all lines stay."""
+    """`id`, `row` and `bitmap` of every row of `docs`; no bitmap where all lines stay."""
     named = bitmaps.select(
-        F.col("doc_id").alias("__doc"),
-        F.col("text_hash").alias("__text"),
-        F.col("bitmap").alias("__bitmap"),
+        F.col("doc_id").alias("losing_id"), F.col("text_hash").alias("losing_hash"), "bitmap"
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__text"))
-    return docs.join(named, same, "left").drop("__doc", "__text")
+    same = F.col("id").eqNullSafe(F.col("losing_id")) & (F.col("hash") == F.col("losing_hash"))
+    return identified(docs).join(named, same, "left").select("id", "row", "bitmap")
 
 
 def kept_text(text: str | bytes, bitmap: bytes | None) -> tuple[str | bytes, int, int]:
@@ -255,7 +253,7 @@ def kept_text_column(text: pd.Series, bitmap: pd.Series) -> pd.Series:
 
 def _kept_batches(batches: Batches) -> Batches:
     for batch in batches:
-        bitmaps = batch.column("__bitmap").to_pylist()
+        bitmaps = batch.column("bitmap").to_pylist()
         rows = [
             kept_text(t or b"", b) for t, b in zip(text_bytes(batch), bitmaps, strict=True)
         ]
@@ -276,7 +274,9 @@ def dedup_lines(
     """`doc_id`, `kept` (text), `n_lines` (before), `n_dropped` for every row of `docs`. A null or
     empty text is one empty line. Other columns are ignored."""
     narrow = docs.select("doc_id", "text")
-    marked = with_bitmaps(narrow, keep_bitmaps(narrow, min_chars, min_documents))
+    marked = with_bitmaps(narrow, keep_bitmaps(narrow, min_chars, min_documents)).select(
+        F.col("id").alias("doc_id"), "row.text", "bitmap"
+    )
     fields = [
         docs.schema["doc_id"],
         field("kept", T.StringType()),

@@ -181,7 +181,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, voters: int = VOTERS) ->
         .groupBy("doc_id")
         .agg(F.max("quality").cast("int").alias("label"))
     )
-    labelled = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    labelled = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     draw = share(11, "doc_id")
     wanted = min(1.0, 1.2 * voters / max(labelled.count(), 1))
     chosen = stored(labelled.where(draw <= wanted).orderBy(draw, "doc_id").limit(voters), "voters")

@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Toxi
         .agg(F.max("toxic").cast("int").alias("label"))
     )
     present = stored(
-        known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "toxic-labels"
+        known.join(docs.select("doc_id"), "doc_id", "left_semi"), "toxic-labels"
     )
     totals = {row["label"]: row["count"] for row in present.groupBy("label").count().collect()}
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
