@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomtide.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
-from roomtide.llm.common import table
+from roomtide.llm.common import identified, table
 from roomtide.llm.queries import bpe_digests
 from roomtide.sources.scratch import stored
 
@@ -24,11 +24,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Whole rows in one column, so that no column of theirs can clash with one of a stage."""
-    return docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
-
-
 def _same_id(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
@@ -38,23 +33,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     must be kept."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
     rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return _packed(docs).join(rejected, _same_id("id", "gone"), "left_anti").select("row.*")
+    return identified(docs).join(stored(rejected, "rejected"), _same_id("id", "gone"), "left_anti").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines they share; `n_chars`, if there, follows the new text."""
-    bitmaps = line_dedup.keep_bitmaps(docs)
-    packed = docs.select("doc_id", "text", F.struct("*").alias("__row"))
-    marked = line_dedup.with_bitmaps(packed, bitmaps)
-    changed = F.col("__bitmap").isNotNull()
-    text = F.when(changed, line_dedup.kept_text_column("text", "__bitmap")).otherwise(F.col("text"))
-    rows = marked.select("__row", changed.alias("changed"), text.alias("new_text"))
-    kept = {"text": F.col("new_text")}
+    marked = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    changed = F.col("bitmap").isNotNull()
+    rows = marked.select(
+        "row", changed.alias("changed"), line_dedup.kept_text_column("row.text", "bitmap").alias("kept")
+    )
+    columns = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        n_chars = F.length("new_text").cast(docs.schema["n_chars"].dataType)
-        kept["n_chars"] = F.when(F.col("changed"), n_chars).otherwise(F.col("__row.n_chars"))
+        n_chars = F.length("kept").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("changed"), n_chars).otherwise(F.col("row.n_chars"))
     return rows.select(
-        *[kept.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns]
+        *[columns.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
     )
 
 
@@ -72,13 +66,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
             F.col("keeper.text_hash").alias("keeper_hash"),
         )
     )
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select(
-        F.col("doc_id").alias("id"), text_hash.alias("hash"), F.struct("*").alias("row")
-    )
     same = _same_id("id", "keeper_id") & (F.col("hash") == F.col("keeper_hash"))
     once = F.min_by("row", F.xxhash64("row")).alias("row")
-    kept = rows.join(stored(keepers, "keepers"), same, "left_semi")
+    kept = identified(docs).join(stored(keepers, "keepers"), same, "left_semi")
     return kept.groupBy("id", "hash").agg(once).select("row.*")
 
 
@@ -86,7 +76,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that contain no benchmark question."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     leaked = found.select(F.col("doc_id").alias("gone")).distinct()
-    return _packed(docs).join(leaked, _same_id("id", "gone"), "left_anti").select("row.*")
+    return identified(docs).join(stored(leaked, "leaked"), _same_id("id", "gone"), "left_anti").select("row.*")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
