@@ -58,7 +58,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), _held_out(4, 2)
     labels = table(spark, sf_dir, "labels").where(~held_out)
-    scored = toxicity.toxicity_scores(docs, toxicity.train(docs, labels))
+    scored = toxicity.toxicity_scores(docs, toxicity.train(docs.where(~held_out), labels))
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted")

@@ -7,6 +7,7 @@ either way are left out, and a logistic regression on a bounded sample weighs th
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,7 @@ MIN_DOCUMENTS = 6
 MIN_RATIO = 2.0
 SAMPLE_ROWS = 8192
 THRESHOLD = 0.3
+_BLOCK = 1 << 12
 _STEPS, _RATE, _L2 = 100, 0.1, 1e-4
 
 
@@ -96,18 +98,35 @@ def fit_logistic(
 
 
 def _count_batches(batches: Batches) -> Batches:
-    """In how many toxic and clean rows of one task each bucket is."""
-    counts = np.zeros((2, BUCKETS), np.int32)
+    """In how many clean and toxic rows of one task each bucket is, as compressed blocks."""
+    counts = np.zeros((BUCKETS // _BLOCK, 2, _BLOCK), np.int32)
     for batch in batches:
         labels = batch.column("label").to_pylist()
         for text, label in zip(batch.column("text").to_pylist(), labels, strict=True):
-            counts[label, buckets_of(text or "")] += 1
-    buckets = np.flatnonzero(counts.any(axis=0))
-    for at in range(0, len(buckets), 1 << 16):
-        part = buckets[at : at + (1 << 16)]
+            buckets = buckets_of(text or "")
+            counts[buckets // _BLOCK, label, buckets % _BLOCK] += 1
+    blocks = np.flatnonzero(counts.any(axis=(1, 2)))
+    packed = [zlib.compress(counts[block].tobytes(), 1) for block in blocks]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"]
+    )
+
+
+def _telling_batches(batches: Batches, n_clean: int, n_toxic: int) -> Batches:
+    """Sums the blocks that were dealt to one task, and gives the buckets that tell something. It
+    holds the sums of its blocks, at most one number for each bucket and class."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        packed = batch.column("counts").to_pylist()
+        for block, counts in zip(batch.column("block").to_pylist(), packed, strict=True):
+            part = np.frombuffer(zlib.decompress(counts), np.int32).reshape(2, _BLOCK)
+            sums[block] = sums.get(block, 0) + part.astype(np.int64)
+    for block, (clean, toxic) in sorted(sums.items()):
+        ratios = log_ratios(toxic, clean, n_toxic, n_clean)
+        kept = np.flatnonzero((clean + toxic >= MIN_DOCUMENTS) & (np.abs(ratios) >= MIN_RATIO))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.int32()), *(pa.array(counts[k, part], pa.int64()) for k in (0, 1))],
-            names=["bucket", "clean", "toxic"],
+            [pa.array(block * _BLOCK + kept, pa.int32()), pa.array(ratios[kept])],
+            names=["bucket", "ratio"],
         )
 
 
@@ -129,7 +148,8 @@ def _kept_batches(batches: Batches, kept: np.ndarray) -> Batches:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> ToxicityModel | None:
     """A model of the rows of `docs` that `labels` (`doc_id`, `toxic`) marks; null labels are left
-    out, and if a document has several the largest counts. Ratios count all these rows; the
+    out, and if a document has several the largest counts. The texts of `docs` are shuffled to meet
+    their labels, so give only rows that may be learned from. Ratios count all marked rows; the
     regression takes about `sample` rows, at most 1.5 times as many, half of them toxic if there
     are so many. None if there is no toxic or no clean row."""
     known = (
@@ -145,24 +165,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Toxi
     if not n_clean or not n_toxic:
         return None
     labelled = docs.select("doc_id", "text").join(present, "doc_id").select("text", "label")
-    fields = [field("bucket", T.IntegerType())]
-    fields += [field(name, T.LongType()) for name in ("clean", "toxic")]
-    counts = (
-        map_batches(labelled, _count_batches, fields)
-        .groupBy("bucket")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    blocks = map_batches(
+        labelled,
+        _count_batches,
+        [field("block", T.IntegerType()), field("counts", T.BinaryType())],
     )
-    ratio = F.log((F.col("toxic") + 1) / (n_toxic + 2)) - F.log((F.col("clean") + 1) / (n_clean + 2))
     telling = (
-        counts.where(F.col("toxic") + F.col("clean") >= MIN_DOCUMENTS)
-        .where(F.abs(ratio) >= MIN_RATIO)
+        map_batches(
+            blocks.repartition("block"),
+            _telling_batches,
+            [field("bucket", T.IntegerType()), field("ratio", T.DoubleType())],
+            n_clean=n_clean,
+            n_toxic=n_toxic,
+        )
         .toPandas()
         .sort_values("bucket")
     )
-    kept = telling["bucket"].to_numpy(np.int64)
-    ratios = log_ratios(
-        telling["toxic"].to_numpy(float), telling["clean"].to_numpy(float), n_toxic, n_clean
-    )
+    kept, ratios = telling["bucket"].to_numpy(np.int64), telling["ratio"].to_numpy(float)
     draw = share(5, "doc_id")
     wanted = F.when(F.col("label") == 1, min(1.0, 0.6 * sample / n_toxic)).otherwise(
         min(1.0, 0.6 * sample / n_clean)

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from roomtide.llm import bpe
+from roomtide.llm import bpe, queries
 from roomtide.llm.queries import bpe_digests
 from tests.llm.cases import awkward, documents, prose, sorted_rows
 
@@ -81,3 +81,14 @@ def test_awkward_rows(spark, library):
 
 def test_empty_table(spark):
     assert bpe.encode_documents(documents(spark, []), PATH).collect() == []
+
+
+def test_given_table_against_the_library(spark, library):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    results = []
+    for row in docs:
+        ids, decoded = expected(library, row.text)
+        texts = " ".join(map(str, ids)), decoded
+        results.append((row.doc_id, len(ids), *(hashlib.sha256(t.encode()).hexdigest() for t in texts)))
+    assert sorted_rows(queries.op6_bpe(spark, sf).collect()) == sorted_rows(results)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from roomtide.llm import quality_rules as rules
+from roomtide.llm import queries
 from tests.llm.cases import awkward, documents, prose, sorted_rows
 
 
@@ -97,3 +98,12 @@ def test_threshold_keeps_its_promise(spark):
     assert 0.985 <= threshold <= 0.995
     none = rules.calibrated_threshold(scored, known.where("quality = 0"), 0.01)
     assert none == math.inf
+
+
+def test_given_table_against_plain_version(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    judged = queries.op9_quality_rules(spark, sf)
+    found = judged.select("doc_id", *rules.STATS[:5], "base_failed").collect()
+    assert sorted_rows(found) == sorted_rows([(r.doc_id, *plain_base(r.text)) for r in docs])
+    assert judged.where("kept and base_failed or kept is null").count() == 0

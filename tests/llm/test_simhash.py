@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from roomtide.llm import simhash
+from roomtide.llm import queries, simhash
 from roomtide.llm.components import connected_components
 from tests.llm.cases import awkward, documents, prose, sorted_rows
 
@@ -121,3 +121,10 @@ def test_long_chain_is_one_component(spark):
 
 def test_empty_table(spark):
     assert result(spark, []) == []
+
+
+def test_given_table_against_all_pairs(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    found = queries.op3_simhash(spark, sf).select("doc_id", "fingerprint", "component_id")
+    assert sorted_rows(found.collect()) == sorted_rows(plain_components([tuple(r) for r in docs]))
