@@ -22,7 +22,7 @@ from roomtide.llm.ngrams import bucket_counts
 
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 2048
 UNKNOWN = "und"
 _EPOCHS = 3
 _ALPHA, _BETA, _L1, _L2 = 0.5, 1.0, 0.02, 0.001
@@ -128,7 +128,7 @@ def _feature_batches(batches: Batches) -> Batches:
                 batch.column("lang"),
                 batch.column("draw"),
                 pa.array([f[0] for f in found], pa.list_(pa.int32())),
-                pa.array([f[1] for f in found], pa.list_(pa.int64())),
+                pa.array([f[1] for f in found], pa.list_(pa.int32())),
             ],
             names=["lang", "draw", "buckets", "counts"],
         )
@@ -166,7 +166,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> LanguageModel:
         field("lang", T.StringType()),
         field("draw", T.DoubleType()),
         field("buckets", T.ArrayType(T.IntegerType())),
-        field("counts", T.ArrayType(T.LongType())),
+        field("counts", T.ArrayType(T.IntegerType())),
     ]
     rows = (
         map_batches(drawn, _feature_batches, fields)
