@@ -28,21 +28,26 @@ def _same_id(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
 
+def _without(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Documents whose doc_id is not in `found`. The list is written first, so that Spark knows its
+    size and moves the texts only if it is too long to send to every task."""
+    gone = stored(found.select(F.col("doc_id").alias("gone")).distinct(), name)
+    return identified(docs).join(gone, _same_id("id", "gone"), "left_anti").select("row.*")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the forest keep. Rows of one doc_id stay or go together: all
     must be kept."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return identified(docs).join(stored(rejected, "rejected"), _same_id("id", "gone"), "left_anti").select("row.*")
+    return _without(docs, judged.where(~F.col("kept")), "rejected")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines they share; `n_chars`, if there, follows the new text."""
     marked = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     changed = F.col("bitmap").isNotNull()
-    rows = marked.select(
-        "row", changed.alias("changed"), line_dedup.kept_text_column("row.text", "bitmap").alias("kept")
-    )
+    kept = line_dedup.kept_text_column("row.text", "bitmap")
+    rows = marked.select("row", changed.alias("changed"), kept.alias("kept"))
     columns = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         n_chars = F.length("kept").cast(docs.schema["n_chars"].dataType)
@@ -75,8 +80,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark question."""
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaked = found.select(F.col("doc_id").alias("gone")).distinct()
-    return identified(docs).join(stored(leaked, "leaked"), _same_id("id", "gone"), "left_anti").select("row.*")
+    return _without(docs, found, "leaked")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
