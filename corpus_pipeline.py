@@ -62,19 +62,24 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     only if none has one), of several texts with this id the one with the smallest hash, and of
     repeated rows one."""
     found = simhash.near_duplicates(docs)
+    same_rows = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    chosen = F.min_by(F.struct("doc_id", "text_hash", "times"), rank)
     keepers = (
-        found.groupBy("component")
-        .agg(F.min_by(F.struct("doc_id", "text_hash"), rank).alias("keeper"))
+        same_rows.groupBy("component")
+        .agg(chosen.alias("keeper"))
         .select(
             F.col("keeper.doc_id").alias("keeper_id"),
             F.col("keeper.text_hash").alias("keeper_hash"),
+            F.col("keeper.times").alias("times"),
         )
     )
     same = _same_id("id", "keeper_id") & (F.col("hash") == F.col("keeper_hash"))
+    kept = identified(docs).join(stored(keepers, "keepers"), same)
+    # Only repeated rows need another shuffle; the join's is used for both parts.
     once = F.min_by("row", F.xxhash64("row")).alias("row")
-    kept = identified(docs).join(stored(keepers, "keepers"), same, "left_semi")
-    return kept.groupBy("id", "hash").agg(once).select("row.*")
+    repeated = kept.where("times > 1").groupBy("id", "hash").agg(once)
+    return kept.where("times = 1").select("row.*").unionByName(repeated.select("row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
