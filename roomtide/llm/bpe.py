@@ -33,7 +33,7 @@ _WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 )
 _ASCII_WORDS = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+")
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 _LONGEST_REMEMBERED = 64
 _PIECE_CHARS = 1 << 20
 
