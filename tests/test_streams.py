@@ -115,3 +115,19 @@ def test_silver_job(spark, folder, log, monkeypatch):
     spark.streams.resetTerminated()
     silver_job.main(["--available-now"])
     assert tables.read_silver(spark, f"{folder}/silver").count() == len(TEXTS)
+
+
+def test_batches_start_at_the_trigger_interval(spark, folder, log):
+    source = spark.readStream.schema(schemas.ENVELOPE).parquet(f"{folder}/log")
+    query = layers.start_bronze(
+        source, f"{folder}/bronze", f"{folder}/checkpoints/bronze", trigger="1 second"
+    )
+    try:
+        query.processAllAvailable()
+        log('{"room": "9", "sensor": "co2", "ts": 1377216000, "value": 1}')
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert tables.read_bronze(spark, f"{folder}/bronze").count() == len(TEXTS) + 1
+    batches = [p for p in query.recentProgress if p["numInputRows"]]
+    assert [p["numInputRows"] for p in batches] == [len(TEXTS), 1]
