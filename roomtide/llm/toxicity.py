@@ -164,7 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Toxi
     n_clean, n_toxic = totals.get(0, 0), totals.get(1, 0)
     if not n_clean or not n_toxic:
         return None
-    labelled = docs.select("doc_id", "text").join(present, "doc_id").select("text", "label")
+    # Labels grow with the documents: one plan at every size, which sorts no texts.
+    dealt = present.hint("shuffle_hash")
+    labelled = docs.select("doc_id", "text").join(dealt, "doc_id").select("text", "label")
     blocks = map_batches(
         labelled,
         _count_batches,
