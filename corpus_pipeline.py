@@ -29,15 +29,17 @@ def _same_id(left: str, right: str) -> Column:
 
 
 def _without(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """Documents whose doc_id is not in `found`. The list is written first, so that Spark knows its
-    size and moves the texts only if it is too long to send to every task."""
-    gone = stored(found.select(F.col("doc_id").alias("gone")).distinct(), name)
-    return identified(docs).join(gone, _same_id("id", "gone"), "left_anti").select("row.*")
+    """Documents whose id and text are not in `found` (`doc_id` and `text_hash`). The list is written
+    first, so that Spark knows its size and moves the texts only if it is too long to send to every
+    task."""
+    gone = found.select(F.col("doc_id").alias("gone"), F.col("text_hash").alias("gone_hash"))
+    gone = stored(gone.distinct(), name)
+    same = _same_id("id", "gone") & (F.col("hash") == F.col("gone_hash"))
+    return identified(docs).join(gone, same, "left_anti").select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the forest keep. Rows of one doc_id stay or go together: all
-    must be kept."""
+    """Documents that the rules and the forest keep; of rows with one doc_id, each text by itself."""
     judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
     return _without(docs, judged.where(~F.col("kept")), "rejected")
 
@@ -83,9 +85,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark question."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found, "leaked")
+    """Documents that contain no benchmark question; of rows with one doc_id, each text by itself."""
+    found = decontaminate.stretches(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.withColumnRenamed("doc_text", "text_hash"), "leaked")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,14 +87,21 @@ def _stat_batches(batches: Batches) -> Batches:
         rows = np.array([text_stats(t) for t in text_bytes(batch)], np.int64)
         columns = [pa.array(c) for c in rows.reshape(-1, len(STATS)).T]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *columns], names=["doc_id", *STATS]
+            [batch.column("doc_id"), batch.column("text_hash"), *columns],
+            names=["doc_id", "text_hash", *STATS],
         )
 
 
 def rule_stats(docs: DataFrame) -> DataFrame:
-    """`doc_id` and STATS for every row of `docs`; other columns are ignored."""
-    fields = [docs.schema["doc_id"], *(field(name, T.LongType()) for name in STATS)]
-    return map_batches(docs.select("doc_id", "text"), _stat_batches, fields)
+    """`doc_id`, `text_hash` (that of `identified`) and STATS for every row of `docs`; other columns
+    are ignored."""
+    fields = [
+        docs.schema["doc_id"],
+        field("text_hash", T.LongType()),
+        *(field(name, T.LongType()) for name in STATS),
+    ]
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    return map_batches(docs.select("doc_id", "text", text_hash), _stat_batches, fields)
 
 
 def ratios(stats: np.ndarray) -> np.ndarray:
@@ -220,7 +227,7 @@ def judge(
     sample: int = SAMPLE_ROWS,
     max_good_loss: float = MAX_GOOD_LOSS,
 ) -> DataFrame:
-    """STATS, `anomaly`, `base_failed` and `kept` with the `doc_id` of every row of `docs`.
+    """STATS, `anomaly`, `base_failed` and `kept` with `doc_id` and `text_hash` of every row of `docs`.
 
     The base rules fail texts with few words or with too many words in repeated windows; null and
     empty texts have no words. The forest is grown on at most `sample` rows of `docs`; the score at
