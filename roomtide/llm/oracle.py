@@ -89,8 +89,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropp
 FROM marked GROUP BY doc_id
 """
 
+INFILL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents),
+numbers AS (
+  SELECT doc_id, body, n,
+         CAST('0x' || substr(digest, 1, 8) AS BIGINT) AS h1,
+         CAST('0x' || substr(digest, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(digest, 17, 8) AS BIGINT) AS h3,
+         CAST('0x' || substr(digest, 25, 8) AS BIGINT) AS h4
+  FROM drawn),
+cut AS (
+  SELECT doc_id, body, n, least(h1 % (n + 1), h2 % (n + 1)) AS a,
+         greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>')
+                OR contains(body, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (
+  SELECT *, substr(body, 1, a) AS prefix, substr(body, a + 1, b - a) AS middle,
+         substr(body, b + 1) AS suffix
+  FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN body
+                        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END)
+         AS output_sha256,
+       sha256(body) AS restored_sha256
+FROM parts
+"""
+
 SQL: dict[str, str] = {
     "op1_licenses": LICENSES,
     "op8_url_rules": URL_RULES,
     "op10_line_dedup": LINE_DEDUP,
+    "op12_infill": INFILL,
 }

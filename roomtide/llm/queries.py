@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from roomtide.llm import (
     bpe,
     decontaminate,
+    infill,
     language,
     licenses,
     line_dedup,
@@ -118,6 +119,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = infill.restored(F.col("output"), F.col("form"))
+    return cut.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 ALL: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -131,5 +146,6 @@ ALL: dict[str, Query] = {
         op8_url_rules,
         op9_quality_rules,
         op10_line_dedup,
+        op12_infill,
     )
 }
