@@ -89,6 +89,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropp
 FROM marked GROUP BY doc_id
 """
 
+HARD_NEGATIVES = """
+WITH finite AS (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(embedding) = len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)])),
+rows AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM finite),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a, rows b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM scored
+  WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id,
+         s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id
+           ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND s.label <> p.anchor_label
+    AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 3
+"""
+
 INFILL = """
 WITH drawn AS (
   SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n,
@@ -126,5 +154,6 @@ SQL: dict[str, str] = {
     "op1_licenses": LICENSES,
     "op8_url_rules": URL_RULES,
     "op10_line_dedup": LINE_DEDUP,
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op12_infill": INFILL,
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from roomtide.llm import (
     bpe,
     decontaminate,
+    hard_negatives,
     infill,
     language,
     licenses,
@@ -119,6 +120,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     restored = infill.restored(F.col("output"), F.col("form"))
@@ -146,6 +153,7 @@ ALL: dict[str, Query] = {
         op8_url_rules,
         op9_quality_rules,
         op10_line_dedup,
+        op11_hard_negatives,
         op12_infill,
     )
 }
