@@ -16,6 +16,7 @@ from roomtide.llm import (
     decontaminate,
     hard_negatives,
     infill,
+    katz,
     language,
     licenses,
     line_dedup,
@@ -140,6 +141,19 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _held_out(10, 0)
+    return katz.score_texts(table(spark, sf_dir, "documents"), ~held_out).select(
+        "doc_id",
+        (~F.col("learned")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 ALL: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -155,5 +169,6 @@ ALL: dict[str, Query] = {
         op10_line_dedup,
         op11_hard_negatives,
         op12_infill,
+        op13_katz,
     )
 }
