@@ -37,7 +37,7 @@ CUT = 5
 RESERVE = 0.001
 #: Discount where the counts of counts give none, of each count up to `CUT`.
 FALLBACK = 0.5
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 PARTITION_GRAMS = 1 << 20
 #: Contexts counted more often than this are dealt by the whole n-gram.
 FREQUENT = 1 << 20
@@ -229,23 +229,23 @@ class Totals:
 
 
 class Grams:
-    """The n-grams of one length in a block. `place` says which stands at each position; for each of
-    them there is the `first` position, the keys of itself, its context and its word, and the
-    `count` in texts to learn from. Later come the count of its `context_total` and its own `total`
-    in the corpus, and what its context's weight is made of (`rare`, `rest`, `lower`)."""
+    """The n-grams of one length in a block, sorted by context. `place` says which stands at each
+    position; for each of them there is the `first` position, the keys of its context and its word,
+    and the `count` in texts to learn from. Later come the count of its `context_total` and its own
+    `total` in the corpus, and what its context's weight is made of (`rare`, `rest`, `lower`)."""
 
     def __init__(
         self,
         place: np.ndarray,
         first: np.ndarray,
-        key: np.ndarray,
         context: np.ndarray,
         word: np.ndarray,
         count: np.ndarray,
     ):
-        self.place, self.first, self.key = place, first, key
+        self.place, self.first = place, first
         self.context, self.word, self.count = context, word, count
-        self.order = self.part = self.frequent = self.context_total = None
+        self.parcels: list[tuple[int, bool, np.ndarray]] = []
+        self.frequent = self.context_total = None
         self.total = self.rare = self.rest = self.lower = None
 
     def chances(self, kept: np.ndarray) -> np.ndarray:
@@ -253,21 +253,26 @@ class Grams:
         return kept_counts(self.total, kept) / np.maximum(self.context_total, 1)
 
     def deal(self, frequent: np.ndarray, partitions: int) -> None:
-        """The partition of each n-gram, and the order in which they are sent."""
+        """Make `parcels`: (partition, frequent, n-grams in the order sent)."""
         self.frequent = frequent
-        dealt_by = np.where(frequent, self.key, self.context).view(np.uint64)
-        self.part = ((dealt_by >> np.uint64(40)) % np.uint64(partitions)).astype(np.int64)
-        self.order = np.lexsort((self.word, self.context, self.part * 2 + frequent))
-
-    def parcels(self) -> list[tuple[int, bool, np.ndarray]]:
-        """(partition, frequent, n-grams in the order sent)."""
-        group = (self.part * 2 + self.frequent)[self.order]
-        cuts = np.flatnonzero(np.diff(group)) + 1
-        return [
-            (int(self.part[g[0]]), bool(self.frequent[g[0]]), g)
-            for g in np.split(self.order, cuts)
-            if len(g)
-        ]
+        rare, often = np.flatnonzero(~frequent), np.flatnonzero(frequent)
+        keys = _mixed(self.context[often], self.word[often])
+        for is_frequent, grams, dealt_by in (
+            (False, rare, self.context[rare]),
+            (True, often, keys),
+        ):
+            if not len(grams):
+                continue
+            high = dealt_by.view(np.uint64) >> np.uint64(32)
+            part = (high * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
+            if is_frequent:
+                order = np.argsort(part, kind="stable")
+                grams, part = grams[order], part[order]
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            self.parcels += [
+                (int(p), is_frequent, g)
+                for p, g in zip(part[np.append(0, cuts)], np.split(grams, cuts), strict=True)
+            ]
 
 
 class TokenBlock:
@@ -275,6 +280,8 @@ class TokenBlock:
 
     def __init__(self, row: dict):
         self.words = np.frombuffer(row["words"], np.int64)
+        begin = np.array([xxhash.xxh64_intdigest(_BEGIN)], np.uint64).view(np.int64)
+        self.and_begin = np.append(self.words, begin)
         self.tokens, self.lengths = unpacked(row["tokens"]), unpacked(row["lengths"])
         self.learned = np.array(row["learned"], bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -290,25 +297,33 @@ class TokenBlock:
 
     def add_level(self) -> Grams:
         """The n-grams one word longer than the longest so far."""
-        size = len(self.levels) + 1
+        size, n_words = len(self.levels) + 1, len(self.words)
         if size == 1:
-            context = np.zeros(len(self.tokens), np.int64)
+            # Token numbers are the single words already.
+            place, context = self.tokens, np.zeros(n_words, np.int64)
+            first, word = np.empty(n_words, np.int64), self.words
+            first[place[::-1]] = np.arange(len(place))[::-1]
         else:
-            context = self._key_before(size - 1)
-        word = self.words[self.tokens]
-        keys, first, place = np.unique(
-            _mixed(context, word), return_index=True, return_inverse=True
-        )
+            keys = self._key_before(size - 1)
+            if size == 2:
+                by_key = np.argsort(self.and_begin.view(np.uint64))
+                rank = np.empty(n_words + 1, np.int64)
+                rank[by_key] = np.arange(n_words + 1)
+                rank = rank[self._before(1)]
+            else:
+                rank = np.unique(keys.view(np.uint64), return_inverse=True)[1]
+            code = rank * n_words + self.tokens
+            _, first, place = np.unique(code, return_index=True, return_inverse=True)
+            context, word = keys[first], self.words[self.tokens[first]]
         count = np.bincount(place[self.counted], minlength=len(first))
-        self.levels.append(Grams(place, first, keys, context[first], word[first], count))
+        self.levels.append(Grams(place, first, context, word, count))
         return self.levels[-1]
 
     def _key_before(self, n: int) -> np.ndarray:
         """At each position, the key of the n words before it."""
-        words = np.append(self.words, np.array([xxhash.xxh64_intdigest(_BEGIN)], np.uint64).view(np.int64))
-        key = words[self._before(n)]
+        key = self.and_begin[self._before(n)]
         for distance in range(n - 1, 0, -1):
-            key = _mixed(key, words[self._before(distance)])
+            key = _mixed(key, self.and_begin[self._before(distance)])
         return key
 
     def context_totals(self, totals: Totals) -> np.ndarray:
@@ -331,11 +346,11 @@ class TokenBlock:
     def answer(self, answers: list[dict]) -> None:
         """Take in what the partitions of the longest level's table say."""
         grams = self.levels[-1]
-        n = len(grams.key)
+        n = len(grams.first)
         grams.total, grams.lower = np.zeros(n, np.int64), np.zeros(n)
         grams.rare, grams.rest = np.zeros((CUT, n), np.int64), np.zeros(n, np.int64)
         said = {(a["part"], a["frequent"]): a for a in answers}
-        for part, frequent, sent in grams.parcels():
+        for part, frequent, sent in grams.parcels:
             told = said[part, frequent]
             grams.total[sent] = unpacked(told["totals"])
             if not frequent:
@@ -378,14 +393,14 @@ def _asking_batches(batches: Batches, levels: list[Level], totals: Totals) -> Ba
             (row,) = batch.slice(at, 1).to_pylist()
             block = _block_until(row, len(levels), levels, totals)
             grams = block.levels[-1]
-            lower = np.zeros(len(grams.key))
+            lower = np.zeros(len(grams.first))
             if len(levels) > 1:
                 # All but the first word of an n-gram, as it ends at the same position.
                 shorter = block.levels[-2]
                 chances = shorter.chances(levels[-2].kept)
                 lower = np.where(grams.count > 0, chances[shorter.place[grams.first]], 0.0)
             parcels = []
-            for part, frequent, sent in grams.parcels():
+            for part, frequent, sent in grams.parcels:
                 context = grams.context[sent]
                 changes = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
                 word = grams.word[sent]
