@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomtide.llm.common import Batches, field, map_batches, text_bytes
+from roomtide.llm.common import Batches, field, map_batches, small_batches, text_bytes
 from roomtide.sources.scratch import scratch_path, stored
 
 ORDER = 2
@@ -38,7 +38,7 @@ RESERVE = 0.001
 #: Discount where the counts of counts give none, of each count up to `CUT`.
 FALLBACK = 0.5
 BLOCK_TOKENS = 1 << 20
-PARTITION_GRAMS = 1 << 20
+PARTITION_GRAMS = 1 << 19
 #: Contexts counted more often than this are dealt by the whole n-gram.
 FREQUENT = 1 << 20
 _PIECE = 1 << 22
@@ -121,7 +121,7 @@ def _block_batches(batches: Batches, most_tokens: int) -> Batches:
             names=["words", "tokens", "lengths", "ids", "learned", "n_words", "n_tokens"],
         )
 
-    for batch in batches:
+    for batch in small_batches(batches):
         id_type = batch.column("doc_id").type
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "learned"))
         for text, ident, learn in zip(text_bytes(batch), *columns, strict=True):
