@@ -10,8 +10,9 @@ import argparse
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
+from roomtide import constants as C
 from roomtide.config import Settings
 from roomtide.operators import messages, replay
 from roomtide.session import build_session
@@ -23,9 +24,12 @@ def raw_rows(spark: SparkSession, settings: Settings) -> DataFrame:
     return raw_csv.read_rows(spark, settings.raw_path, settings.rooms, settings.sensors)
 
 
-def scheduled_messages(spark: SparkSession, settings: Settings) -> DataFrame:
-    """The messages of the wanted files with their position and send offset."""
-    readings = messages.to_readings(raw_rows(spark, settings))
+def scheduled_messages(
+    spark: SparkSession, settings: Settings, counted: Observation | None = None
+) -> DataFrame:
+    """The messages of the wanted files with their position and send offset. The raw files are read
+    once, and `counted` is told of their rows then."""
+    readings = messages.to_readings(raw_rows(spark, settings), counted)
     if settings.replay_mode == "rate":
         schedule = replay.rate(readings, settings.rate_per_second)
     else:
@@ -33,14 +37,22 @@ def scheduled_messages(spark: SparkSession, settings: Settings) -> DataFrame:
     return messages.to_messages(schedule, settings.topic_by_sensor, settings.default_topic)
 
 
-def report(spark: SparkSession, settings: Settings, sent: DataFrame) -> dict:
+def _rejected(spark: SparkSession, settings: Settings, counted: Observation, total: int) -> dict:
+    if not total:  # then Spark may have left the observation out, with all that has no rows
+        rows = messages.rejected_by_sensor(raw_rows(spark, settings)).collect()
+        return {r.sensor: r.nb_rejected for r in rows}
+    seen = counted.get
+    return {s: seen[f"rejected_{s}"] for s in C.FILE_NAME_ALIASES if seen[f"rows_{s}"]}
+
+
+def report(spark: SparkSession, settings: Settings, sent: DataFrame, counted: Observation) -> dict:
     """Messages per sensor type and in total, and raw rows that gave none."""
     counts = messages.message_counts(sent).collect()
-    rejected = messages.rejected_by_sensor(raw_rows(spark, settings)).collect()
+    total = sum(r.nb_messages for r in counts if r.is_total)
     return {
         "sent": {r.sensor: r.nb_messages for r in counts if not r.is_total},
-        "total": sum(r.nb_messages for r in counts if r.is_total),
-        "rejected": {r.sensor: r.nb_rejected for r in rejected},
+        "total": total,
+        "rejected": _rejected(spark, settings, counted, total),
     }
 
 
@@ -52,17 +64,18 @@ def main(argv: Sequence[str] | None = None) -> dict:
     spark = build_session(
         "replay", settings, packages=[] if args.to else [settings.kafka_package]
     )
+    counted = Observation("raw rows")
     with scratch_scope(spark, "replay"):
-        sent = scheduled_messages(spark, settings)
+        sent = scheduled_messages(spark, settings, counted)
         if args.to:
             sent.write.parquet(args.to)
             sent = spark.read.parquet(args.to)
         else:
             sent = stored(sent, "messages")
             kafka.publish(messages.as_kafka(sent), settings)
-        counted = report(spark, settings, sent)
-    print(json.dumps(counted))
-    return counted
+        summary = report(spark, settings, sent, counted)
+    print(json.dumps(summary))
+    return summary
 
 
 if __name__ == "__main__":

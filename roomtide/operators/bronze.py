@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from roomtide import schemas
 from roomtide.functions.timeline import seconds_to_timestamp
@@ -55,6 +56,21 @@ def is_unparsed() -> Column:
     return fields.isNull()
 
 
+def rejected_messages(envelope: DataFrame) -> DataFrame:
+    """Topic, partition, offset, log time and text of messages that are no JSON, or JSON of another
+    shape or type than declared. A message without a value has no text."""
+    shape = StructType([*schemas.PAYLOAD.fields, StructField("rejected", StringType())])
+    text = F.col("value").cast("string")
+    parsed = F.from_json(text, shape, {"columnNameOfCorruptRecord": "rejected"})
+    return (
+        envelope.select("*", parsed.alias("message"))
+        .where(F.col("message.rejected").isNotNull() | F.col("value").isNull())
+        .select(
+            "topic", "partition", "offset", F.col("timestamp").alias("kafka_ts"), text.alias("text")
+        )
+    )
+
+
 def unparsed_by_topic(bronze: DataFrame) -> DataFrame:
     return bronze.groupBy("topic").agg(
         F.count("*").alias("nb_messages"), F.count_if(is_unparsed()).alias("nb_unparsed")

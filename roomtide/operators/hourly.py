@@ -32,6 +32,11 @@ def hourly_metrics(silver: DataFrame, event_date: str | date | None = None) -> D
         F.avg(value).alias("value_avg"),
         F.stddev_samp(value).alias("value_std"),
     )
+    return flagged_hours(hours)
+
+
+def flagged_hours(hours: DataFrame) -> DataFrame:
+    """Counts and statistics of hours, with their valid share and flag, as hourly KPIs."""
     share = quality.valid_share(F.col("nb_valid"), F.col("nb_readings"))
     return (
         hours.withColumn("pct_valid", share)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roomtide import constants as C
@@ -27,10 +27,25 @@ def _usable() -> Column:
     return text.is_epoch(F.col("epoch")) & text.is_value(F.col("sensor"), F.col("number"))
 
 
-def to_readings(rows: DataFrame) -> DataFrame:
-    """Rows with a numeric epoch and value, as `ts` and `value`. Others, headers included, go."""
+def _unusable() -> Column:
+    return ~F.coalesce(_usable(), F.lit(False))
+
+
+def to_readings(rows: DataFrame, counted: Observation | None = None) -> DataFrame:
+    """Rows with a numeric epoch and value, as `ts` and `value`. Others, headers included, go.
+
+    `counted` is told, as the rows pass, how many there were of each sensor type and how many went
+    (`rows_<type>`, `rejected_<type>`)."""
     kept = [F.col(c) for c in rows.columns if c not in schemas.RAW_ROW.fieldNames()]
-    return _parsed(rows).where(_usable()).select(
+    parsed = _parsed(rows)
+    if counted is not None:
+        measures = []
+        for sensor in C.FILE_NAME_ALIASES:
+            of_type = F.col("sensor") == sensor
+            measures.append(F.count_if(of_type).alias(f"rows_{sensor}"))
+            measures.append(F.count_if(of_type & _unusable()).alias(f"rejected_{sensor}"))
+        parsed = parsed.observe(counted, *measures)
+    return parsed.where(_usable()).select(
         *kept,
         epoch_seconds(F.col("epoch")).alias("ts"),
         text.sensor_value(F.col("sensor"), F.col("number")).alias("value"),
@@ -39,9 +54,8 @@ def to_readings(rows: DataFrame) -> DataFrame:
 
 def rejected_by_sensor(rows: DataFrame) -> DataFrame:
     """How many raw rows there are and how many `to_readings` rejects."""
-    bad = ~F.coalesce(_usable(), F.lit(False))
     return _parsed(rows).groupBy("sensor").agg(
-        F.count("*").alias("nb_rows"), F.count_if(bad).alias("nb_rejected")
+        F.count("*").alias("nb_rows"), F.count_if(_unusable()).alias("nb_rejected")
     )
 
 
@@ -73,11 +87,15 @@ def as_kafka(messages_: DataFrame) -> DataFrame:
     return messages_.select("topic", "key", F.col("json").alias("value"), F.array(place).alias("headers"))
 
 
-def message_counts(readings: DataFrame) -> DataFrame:
-    """Messages per sensor type, and in total on the row where `is_total` is set."""
-    per_sensor = readings.groupBy("sensor").agg(F.count("*").alias("n"))
-    counted = per_sensor.rollup("sensor").agg(
+def with_total(per_sensor: DataFrame) -> DataFrame:
+    """Counts per sensor type (`nb_messages`), and in total on the row where `is_total` is set."""
+    counted = per_sensor.withColumnRenamed("nb_messages", "n").rollup("sensor").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("nb_messages"),
         (F.grouping("sensor") == 1).alias("is_total"),
     )
     return counted.select("sensor", "is_total", "nb_messages")
+
+
+def message_counts(readings: DataFrame) -> DataFrame:
+    """Messages per sensor type, and in total on the row where `is_total` is set."""
+    return with_total(readings.groupBy("sensor").agg(F.count("*").alias("nb_messages")))

@@ -56,6 +56,27 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     )
 
 
+def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str], name: str) -> DataFrame:
+    """`number_rows`, and for each column of `sums` its total up to and with the row, as `<column>_to`."""
+    staged = stage_sorted(df, order)
+    inside = Window.partitionBy("chunk").orderBy("chunk_row")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = staged.groupBy("chunk").agg(
+        F.count("*").alias("rows"), *[F.sum(c).alias(f"{c}_sum") for c in sums]
+    )
+    starts = totals.select(
+        "chunk",
+        _or_zero(F.sum("rows").over(earlier)).alias("start"),
+        *[_or_zero(F.sum(f"{c}_sum").over(earlier)).alias(f"{c}_start") for c in sums],
+    )
+    added = {name: F.col("start") + F.col("chunk_row") + 1} | {
+        f"{c}_to": F.col(f"{c}_start") + F.sum(c).over(so_far) for c in sums
+    }
+    joined = staged.join(stored(starts, "chunk-starts"), "chunk")
+    return joined.withColumns(added).select(*df.columns, *added)
+
+
 def within_pieces(df: DataFrame, key: str, order: Sequence[str], chunk: str) -> DataFrame:
     """Add what a row's own piece of its stream says: `piece_round` and `piece_elapsed` up to the
     row, and on the last row of the piece `first_ts`, the piece's first `ts`. One shuffle."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomtide.operators.ordering import along_streams, number_rows
+from roomtide.operators.turns import in_turns
 from roomtide.sources.scratch import stored
 
 FILE_ORDER = ("split", "line")
@@ -67,10 +68,10 @@ def rate(
     """A fixed number of messages per second, taking one from each stream in turn.
 
     Streams take turns in path order and leave when they run out. Adds `round`, `position`
-    (from 1, over all streams) and `send_offset` in seconds.
+    (from 1, over all streams) and `send_offset` in seconds. Positions follow from the lengths of
+    the streams, so the readings are not sorted.
     """
-    rounds = along_streams(readings, "path", order, chunk).drop("elapsed")
-    turns = number_rows(rounds, ["round", "path"], "position")
+    turns = in_turns(readings, "path", order, chunk)
     return turns.withColumn(
         "send_offset", (F.col("position") - 1) / _at_least_one(per_second)
     )

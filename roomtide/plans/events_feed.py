@@ -18,8 +18,8 @@ from roomtide.functions.lookup import lookup
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 _FIRST_EVENT, _FIRST_READING, _SPEED = 1_704_067_200, 1_377_216_000, 10
 
-# Rows per part file of an entry, so that an entry has several splits.
-_PART_ROWS = 256
+# An entry has about so many part files, and so several splits.
+_PARTS, _ENTRIES = 3, 23
 
 _FILE_NAMES = {
     "co2": "CO2",
@@ -120,12 +120,13 @@ def raw_files(event_rows: DataFrame) -> DataFrame:
 def write_raw_files(event_rows: DataFrame, root: str) -> None:
     """The raw rows as CSV entries `<root>/room=<room>/file=<name>.csv`: folders of part files whose
     names, and the lines in them, are in line order."""
+    part_rows = event_rows.count() // (_PARTS * _ENTRIES) + 1
     (
         raw_files(event_rows)
         .repartition("room", "file")
         .sortWithinPartitions("room", "file", "line")
         .drop("sensor", "line")
-        .write.option("maxRecordsPerFile", _PART_ROWS)
+        .write.option("maxRecordsPerFile", part_rows)
         .partitionBy("room", "file")
         .csv(root)
     )

@@ -210,6 +210,17 @@ SQL: dict[str, str] = {
     ),
     "bronze_stream": _BRONZE_ROWS,
     "bronze_restart": _BRONZE_ROWS,
+    "bronze_batches": _BRONZE_ROWS,
+    "bronze_rejects": _with(
+        _READINGS,
+        """
+        SELECT topic, CAST(event_id % 3 AS INTEGER) AS partition, event_id AS "offset",
+               CASE event_id % 4 WHEN 0 THEN 'not json ' || event_id
+                                 ELSE '{"room": "101", "ts": "' || event_id || '"}' END AS text
+        FROM messages WHERE event_id % 4 < 2
+        """,
+    ),
+    "bronze_stray_file": _BRONZE_ROWS,
     "silver_clean": _SILVER_ROWS,
     "silver_repair": _with(
         _READINGS,
@@ -225,6 +236,16 @@ SQL: dict[str, str] = {
         """,
     ),
     "silver_stream": _SILVER_ROWS,
+    "silver_from_leaves": _with(
+        _SILVER,
+        """
+        SELECT * REPLACE (
+          CASE sensor_type WHEN 'noise' THEN 'sensor' ELSE sensor_type END AS sensor_type,
+          room || '-' || CASE sensor_type WHEN 'noise' THEN 'sensor' ELSE sensor_type END
+            AS sensor_id)
+        FROM silver
+        """,
+    ),
     "silver_one_date": _with(
         _SILVER, "SELECT * FROM silver WHERE event_date = DATE '2013-08-24'"
     ),
@@ -237,6 +258,7 @@ SQL: dict[str, str] = {
         """,
     ),
     "hourly_kpis": _HOURLY_ROWS,
+    "hourly_merged": _HOURLY_ROWS,
     "daily_room_metrics": _DAILY_ROWS,
     "daily_join_chain": _DAILY_ROWS,
     "gold_hourly_table": _HOURLY_ROWS,
@@ -246,6 +268,7 @@ SQL: dict[str, str] = {
     "gold_day_removed": _with(
         _DAILY, "SELECT * FROM daily WHERE event_date != DATE '2013-08-24'"
     ),
+    "gold_late_rows": _DAILY_ROWS,
     "rooms": _with(
         _SILVER,
         """
@@ -290,6 +313,13 @@ SQL: dict[str, str] = {
         WHERE room IN ('101', '103', '105') AND sensor IN ('co2', 'pir')
         """,
     ),
+    "csv_allow_table": _with(
+        _RAW,
+        """
+        SELECT room, sensor, ts, value FROM readings
+        WHERE room IN ('101', '104') AND sensor <> 'pir'
+        """,
+    ),
     "csv_rejected": _with(
         _RAW,
         """
@@ -312,6 +342,16 @@ SQL: dict[str, str] = {
         FROM readings
         """,
     ),
+    "message_bytes": _with(
+        _RAW,
+        """
+        SELECT 'iot.' || sensor AS topic, room || ':' || sensor AS key,
+               '{"room": "' || room || '", "sensor": "' || sensor || '", "ts": ' || ts
+                 || ', "value": ' || CASE sensor WHEN 'pir' THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
+                                                 ELSE CAST(value AS VARCHAR) END || '}' AS json
+        FROM readings
+        """,
+    ),
     "message_log": _with(
         _RAW,
         """
@@ -327,6 +367,13 @@ SQL: dict[str, str] = {
         FROM readings GROUP BY ROLLUP (sensor)
         """,
     ),
+    "message_counts_stream": _with(
+        _RAW,
+        """
+        SELECT sensor, grouping(sensor) = 1 AS is_total, count(*) AS nb_messages
+        FROM readings GROUP BY ROLLUP (sensor)
+        """,
+    ),
     "replay_timewarp": _with(
         _RAW,
         """

@@ -13,16 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomtide import schemas
+from roomtide.config import child
 from roomtide.operators import daily, messages, replay, serving
 from roomtide.operators.bronze import decode_envelope, to_bronze, unparsed_by_topic
+from roomtide.operators.hour_states import hour_states, hours_of_states, merge_states
 from roomtide.operators.hourly import hourly_metrics
 from roomtide.operators.silver import quality_by_sensor, to_silver
 from roomtide.plans import events_feed as feed
 from roomtide.plans.gold import refresh_gold
 from roomtide.session import pin_utc
-from roomtide.sources import raw_csv, tables
+from roomtide.sources import hour_table, raw_csv, tables
 from roomtide.sources.scratch import scratch_path, stored
-from roomtide.streaming import layers
+from roomtide.streaming import counts, gold, layers
+from roomtide.streaming.bronze_batches import start_bronze_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,6 +145,43 @@ def bronze_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(tables.read_bronze(spark, root))
 
 
+def bronze_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages arrive in two parts; each batch is one folder of the table, rebalanced."""
+    log, root, checkpoint = (scratch_path(spark, n) for n in ("log", "bronze", "bronze-checkpoint"))
+    half = F.col("event_id") % 2
+    for arriving in (half == 0, half != 0):
+        _events(spark, sf_dir).where(arriving).write.mode("append").parquet(log)
+        envelope = feed.envelope(spark.readStream.schema(feed.EVENTS).parquet(log))
+        start_bronze_batches(envelope, root, checkpoint, available_now=True).awaitTermination()
+    return _shown(tables.read_bronze(spark, root))
+
+
+def bronze_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth message is not JSON, every fourth has a clock in quotes; a stream keeps their text
+    on the side."""
+    root, rejects = scratch_path(spark, "bronze"), scratch_path(spark, "rejects")
+    envelope = feed.envelope(feed.events_stream(pin_utc(spark), sf_dir))
+    number = F.col("offset").cast("string")
+    broken = F.when(F.col("offset") % 4 == 0, F.concat(F.lit("not json "), number)).when(
+        F.col("offset") % 4 == 1, F.concat(F.lit('{"room": "101", "ts": "'), number, F.lit('"}'))
+    )
+    damaged = envelope.withColumn("value", F.coalesce(broken.cast("binary"), F.col("value")))
+    checkpoint = scratch_path(spark, "bronze-checkpoint")
+    start_bronze_batches(damaged, root, checkpoint, rejects, available_now=True).awaitTermination()
+    return _shown(tables.read_table(spark, rejects, schemas.REJECT)).drop("kafka_ts")
+
+
+def bronze_stray_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file that no stream committed lies in a leaf of a stream-written table; read from its root,
+    the table is what the stream committed."""
+    root = _streamed_bronze(spark, sf_dir)
+    stray = child(root, "room=101", "sensor=co2", f"event_date={_DATE}")
+    inside = [c for c in schemas.BRONZE.fieldNames() if c not in schemas.BRONZE_PARTITIONS]
+    copies = tables.read_bronze(spark, root).where("room = '101' AND sensor = 'co2'").select(*inside)
+    stored(copies, "stray").write.mode("append").parquet(stray)
+    return _shown(tables.read_bronze(spark, root))
+
+
 def silver_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silver_shown(_silver(spark, sf_dir))
 
@@ -174,6 +214,13 @@ def silver_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _silver_shown(tables.read_silver(spark, root))
 
 
+def silver_from_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream-written bronze table read leaf by leaf: rooms come from the files' paths, sensor types
+    from the topics, days from the clocks."""
+    bronze = tables.read_bronze_leaves(spark, _streamed_bronze(spark, sf_dir))
+    return _silver_shown(to_silver(bronze))
+
+
 def silver_one_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One partition of a silver table."""
     root = scratch_path(spark, "silver")
@@ -189,6 +236,20 @@ def hourly_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_shown(_hourly(spark, sf_dir)))
 
 
+def hourly_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of every hour arrive in three batches. Their states are stored one by one, the
+    first two merged into a base meanwhile, and the hours made from states alone."""
+    root = scratch_path(spark, "states")
+    bronze = _bronze(spark, sf_dir)
+    for batch in range(3):
+        part = to_silver(bronze.where(F.col("offset") % 3 == batch))
+        hour_table.add_batch(hour_states(part), root, batch)
+        if batch == 1:
+            hour_table.compact(spark, root, batch)
+    merged = merge_states(hour_table.read_states(spark, root))
+    return _rounded(_shown(hours_of_states(merged)))
+
+
 def daily_room_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_shown(daily.daily_room_metrics(_hourly(spark, sf_dir))))
 
@@ -239,6 +300,24 @@ def gold_day_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_shown(tables.read_daily(spark, days)))
 
 
+def gold_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver grows three times by readings of every hour, and a gold stream follows it. At the end
+    the last batch comes again, as after a failure, and changes nothing."""
+    silver, states, hourly, days, checkpoint = (
+        scratch_path(spark, name) for name in ("silver", "states", "hourly", "daily", "checkpoint")
+    )
+    bronze = _bronze(spark, sf_dir)
+    for batch in range(3):
+        part = to_silver(bronze.where(F.col("offset") % 3 == batch))
+        tables.write_partitioned(part, silver, mode="append")
+        stream = gold.read_silver_stream(spark, silver)
+        gold.start_gold(
+            stream, states, hourly, days, checkpoint, available_now=True, compact_every=2
+        ).awaitTermination()
+    gold.apply_batch(stored(part, "again"), 2, states, hourly, days)
+    return _rounded(_shown(tables.read_daily(spark, days)))
+
+
 def rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.rooms(_silver_table(spark, sf_dir))
 
@@ -287,6 +366,14 @@ def csv_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.to_readings(rows).select("room", "sensor", "ts", "value")
 
 
+def csv_allow_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rooms and sensor types that are wanted come as a table made of the events."""
+    pairs = feed.readings(_events(spark, sf_dir)).where("room IN ('101', '104') AND sensor <> 'pir'")
+    allowed = stored(pairs.select("room", F.upper("sensor").alias("sensor")), "allowed")
+    rows = raw_csv.read_rows(spark, _raw_folder(spark, sf_dir), allowed=allowed)
+    return messages.to_readings(rows).select("room", "sensor", "ts", "value")
+
+
 def csv_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.rejected_by_sensor(raw_csv.read_rows(spark, _raw_folder(spark, sf_dir)))
 
@@ -303,6 +390,10 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("topic", "key", *fields)
 
 
+def message_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages.to_messages(_readings(spark, sf_dir)).select("topic", "key", "json")
+
+
 def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw files to published messages as the replay job makes them: ingested, scheduled in
     file order, put in one sequence, written and read back."""
@@ -320,6 +411,18 @@ def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.message_counts(_readings(spark, sf_dir))
 
 
+def message_counts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted while they arrive, half of the readings before the stream is started again."""
+    log, root, checkpoint = (scratch_path(spark, name) for name in ("log", "counts", "checkpoint"))
+    arriving = stored(_readings(spark, sf_dir).select("room", "sensor", "ts", "value"), "readings")
+    half = F.xxhash64("room", "sensor", "ts", "value") % 2
+    for part in (half == 0, half != 0):
+        arriving.where(part).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(arriving.schema).parquet(log)
+        counts.start_counts(stream, root, checkpoint, available_now=True).awaitTermination()
+    return counts.read_counts(spark, root)
+
+
 def _schedule_shown(schedule: DataFrame) -> DataFrame:
     return schedule.drop("split", "line", "path", "elapsed")
 
@@ -349,12 +452,17 @@ ALL: dict[str, Query] = {
         bronze_unparsed,
         bronze_stream,
         bronze_restart,
+        bronze_batches,
+        bronze_rejects,
+        bronze_stray_file,
         silver_clean,
         silver_repair,
         silver_stream,
+        silver_from_leaves,
         silver_one_date,
         silver_quality,
         hourly_kpis,
+        hourly_merged,
         daily_room_metrics,
         daily_join_chain,
         gold_hourly_table,
@@ -362,6 +470,7 @@ ALL: dict[str, Query] = {
         gold_one_date,
         gold_appended,
         gold_day_removed,
+        gold_late_rows,
         rooms,
         sensor_types,
         sensor_types_any_date,
@@ -370,11 +479,14 @@ ALL: dict[str, Query] = {
         csv_ingest,
         csv_no_match,
         csv_allow_list,
+        csv_allow_table,
         csv_rejected,
         csv_streams,
         message_fields,
+        message_bytes,
         message_log,
         message_counts,
+        message_counts_stream,
         replay_timewarp,
         replay_timewarp_by_time,
         replay_merged,

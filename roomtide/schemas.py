@@ -40,6 +40,21 @@ HOURLY = _schema(
     quality_flag_hour=_string, created_at=_timestamp,
 )
 
+# What is kept of the readings of an hour so that more of them can be merged in: of the valid values
+# their number, mean, and sum of squared distances from the mean.
+HOUR_STATE = _schema(
+    room=_string, sensor_type=_string, event_date=_date, hour_utc=_timestamp,
+    nb_readings=_bigint, nb_valid=_bigint, nb_invalid=_bigint, nb_values=_bigint,
+    value_mean=_double, value_m2=_double, value_min=_double, value_max=_double,
+)
+
+# Messages that are not the declared payload.
+REJECT = _schema(
+    topic=_string, partition=_int, offset=_bigint, kafka_ts=_timestamp, text=_string,
+)
+
+MESSAGE_COUNT = _schema(sensor=_string, nb_messages=_bigint)
+
 DAILY = _schema(
     room=_string, event_date=_date, temp_avg=_double, temp_min=_double, temp_max=_double,
     temp_comfort_ratio=_double, co2_avg=_double, co2_max=_double,

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,51 +67,79 @@ def _wanted(df: DataFrame, rooms: Sequence[str], sensors: Sequence[str]) -> Data
     return df
 
 
-def _any_file(spark: SparkSession, glob: str) -> bool:
-    """Whether the store has an entry of that name; only names are looked at."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    if not found:
+def _found(read: Callable[[], DataFrame], glob: str) -> DataFrame | None:
+    """What Spark lists for a glob; nothing, with a warning, where no name matches."""
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         log.warning("no entry matches %s", glob)
-    return bool(found)
+        return None
+
+
+def _allowed(df: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """Rows whose room, sensor type or both are in a table: a semi-join, which Spark broadcasts or
+    shuffles by the table's size."""
+    if allowed is None:
+        return df
+    keys = [c for c in ("room", "sensor") if c in allowed.columns]
+    if not keys:
+        raise ValueError("an allow-list table needs a column room or sensor")
+    names = allowed.select(
+        *[F.lower(c).alias(c) if c == "sensor" else F.col(c).cast("string").alias(c) for c in keys]
+    )
+    return df.join(names, keys, "left_semi").select(*df.columns)
 
 
 def list_entries(
-    spark: SparkSession, root: str, rooms: Sequence[str] = (), sensors: Sequence[str] = ()
+    spark: SparkSession,
+    root: str,
+    rooms: Sequence[str] = (),
+    sensors: Sequence[str] = (),
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """(room, sensor, path) of each entry in path order; none if no entry matches. No file content
-    is read."""
+    is read. `allowed` is as in `read_rows`."""
     glob = _glob(root, rooms, sensors)
-    if not _any_file(spark, glob):
+    listed = _found(lambda: spark.read.format("binaryFile").load(glob), glob)
+    if listed is None:
         return spark.createDataFrame([], _ENTRY)
-    listed = spark.read.format("binaryFile").load(glob)
     paths = listed.select(F.col("_metadata.file_path").alias("file_path"))
-    files = _wanted(_described(paths), rooms, sensors)
+    files = _allowed(_wanted(_described(paths), rooms, sensors), allowed)
     return files.select("room", "sensor", "path").distinct().orderBy("path")
 
 
 def read_rows(
-    spark: SparkSession, root: str, rooms: Sequence[str] = (), sensors: Sequence[str] = ()
+    spark: SparkSession,
+    root: str,
+    rooms: Sequence[str] = (),
+    sensors: Sequence[str] = (),
+    allowed: DataFrame | None = None,
 ) -> DataFrame:
     """Raw rows (room, sensor, path, split, line, ts_raw, value_raw); none if no entry matches.
 
     `split` and `line` order the rows of a file: the scan cuts a file into splits at byte
     offsets, and line numbers grow within a split. Part files of one entry follow each other
     in name order. What a path says is worked out on the rows, by a projection of the scan.
+
+    Short lists of `rooms` and `sensors` choose files by name. A long list comes as the table
+    `allowed` with `room`, `sensor` or both: rows of other rooms and types are dropped right after
+    the scan. Names in it match whole; NULL matches nothing.
     """
     glob = _glob(root, rooms, sensors)
-    if not _any_file(spark, glob):
+    rows = _found(lambda: spark.read.schema(schemas.RAW_ROW).csv(glob), glob)
+    if rows is None:
         return spark.createDataFrame([], _ROW)
     split = F.struct(
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
     )
-    rows = spark.read.schema(schemas.RAW_ROW).csv(glob)
     placed = rows.select(
         F.col("_metadata.file_path").alias("file_path"),
         split.alias("split"),
         F.monotonically_increasing_id().alias("line"),
         *rows.columns,
     )
-    described = _wanted(_described(placed), rooms, sensors)
+    described = _allowed(_wanted(_described(placed), rooms, sensors), allowed)
     return described.select("room", "sensor", "path", "split", "line", *rows.columns)

@@ -44,9 +44,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def move(spark: SparkSession, path: str, target: str) -> None:
+    files, source = _file_system(spark, path)
+    if not files.rename(source, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"{path} could not be renamed to {target}")
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder; none if it is not there."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return [f.getPath().getName() for f in files.listStatus(target) if f.isDirectory()]
 
 
 @contextmanager

@@ -6,21 +6,33 @@ the previous table from its root, which shows committed files only.
 
 A bronze batch writes one file for each task, room, sensor and day in it. The log is partitioned by
 `room:sensor`, so a combination is in one task, and a batch of 255 sensors writes about 255 files. A
-longer trigger interval makes fewer and larger files; `max_files_per_batch` bounds what a silver
-batch lists and reads.
+longer trigger interval makes fewer and larger files, and `bronze_batches` one for each combination;
+`max_files_per_batch` bounds what a silver batch lists and reads.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from roomtide import constants as C
 from roomtide import schemas
+from roomtide.config import child
 from roomtide.operators.bronze import is_unparsed, to_bronze
 from roomtide.operators.silver import to_silver
 
+
+def started(
+    writer: DataStreamWriter, trigger: str | None = None, available_now: bool = False
+) -> StreamingQuery:
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif trigger:
+        writer = writer.trigger(processingTime=trigger)
+    return writer.start()
+
+
 def append_table(
     rows: DataFrame,
     root: str,
@@ -41,11 +53,7 @@ def append_table(
         .option("path", root)
         .option("checkpointLocation", checkpoint)
     )
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    elif trigger:
-        writer = writer.trigger(processingTime=trigger)
-    return writer.start()
+    return started(writer, trigger, available_now)
 
 
 def start_bronze(
@@ -78,6 +86,15 @@ def read_bronze_stream(
     )
 
 
+def read_bronze_leaf_stream(spark: SparkSession, root: str) -> DataFrame:
+    """The stream of `tables.read_bronze_leaves`."""
+    leaves = child(root, *(f"{name}=*" for name in schemas.BRONZE_PARTITIONS))
+    rows = spark.readStream.schema(schemas.BRONZE).parquet(leaves)
+    return rows.select(
+        *schemas.BRONZE.fieldNames(), F.col("_metadata.file_path").alias("source_file")
+    )
+
+
 def start_silver(
     bronze: DataFrame,
     root: str,

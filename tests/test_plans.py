@@ -126,6 +126,22 @@ def test_positions_use_one_task_for_chunk_counts_only(spark, readings):
     assert "SinglePartition" not in plan(replay.rate(readings, 5))
 
 
+def test_rate_sorts_lengths_only(spark, readings, monkeypatch):
+    """Readings are neither sorted nor range-partitioned; the join with the steps of known size moves
+    none of them."""
+    sorted_tables = []
+
+    def spy(df, order):
+        sorted_tables.append(df.columns)
+        return ordering_stage(df, order)
+
+    ordering_stage = ordering.stage_sorted
+    monkeypatch.setattr(ordering, "stage_sorted", spy)
+    text = plan(replay.rate(readings, 5))
+    assert sorted_tables and not any({"ts", "value"} & set(columns) for columns in sorted_tables)
+    assert "BroadcastHashJoin" in text and "Exchange " not in text.replace("BroadcastExchange", "")
+
+
 def test_writes_are_rebalanced_by_partition(spark, silver):
     grouped = tables.read_silver(spark, silver).hint("rebalance", "event_date")
     assert re.search(r"Exchange hashpartitioning\(event_date#\d+, \d+\), REBALANCE", plan(grouped))

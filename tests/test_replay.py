@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from roomtide.config import Settings
 from roomtide.jobs import replay as replay_job
-from roomtide.operators import messages, replay
-from roomtide.operators.ordering import along_streams, number_rows, stage_sorted
+from roomtide.operators import messages, replay, turns
+from roomtide.operators.ordering import along_streams, number_rows, running_totals, stage_sorted
 from roomtide.sources import raw_csv
 from tests.test_raw_csv import write
 
@@ -132,6 +132,26 @@ def test_rate_with_streams_of_unequal_length(spark):
     assert [(r.path[2], r["round"]) for r in got] == [("a", 1), ("b", 1), ("c", 1), ("b", 2), ("c", 2)]
 
 
+@pytest.mark.parametrize("span", [1, 3, 4096])
+def test_turns_in_many_steps(spark, span, monkeypatch):
+    """Streams of all lengths, so that every stream has many steps, in pieces that spans cut."""
+    monkeypatch.setattr(turns, "_SPAN", span)
+    rng = random.Random(11)
+    clocks = {f"{i}/s.csv": [0] * rng.choice([1, 2, 3, 7, 20, 21, 22, 40, i + 1]) for i in range(30)}
+    got = replay.rate(frame(spark, clocks, split_rows=6), 1).orderBy("position").collect()
+    assert [(r.path, r.line) for r in got] == turns_by_hand(clocks)
+    assert [r.position for r in got] == list(range(1, len(got) + 1))
+
+
+def test_running_totals(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), F.col("id").alias("v"))
+    got = sorted(running_totals(df, ["k"], ["v"], "n").collect())
+    total = 0
+    for n, r in enumerate(got, 1):
+        total += r.v
+        assert (r.k, r.n, r.v_to) == (n - 1, n, total)
+
+
 def test_one_stream_with_most_rows_is_spread_over_chunks(spark):
     clocks = {"1/a.csv": list(range(5000)), "1/b.csv": [1, 2], "1/c.csv": [3]}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
