@@ -44,6 +44,7 @@ class Settings:
     silver_path: str = "lake/silver"
     silver_checkpoint: str = "lake/_checkpoints/silver"
     gold_path: str = "lake/gold"
+    gold_checkpoint: str = "lake/_checkpoints/gold"
 
     sensors: tuple[str, ...] = ("co2", "pir")
     rooms: tuple[str, ...] = ()
@@ -63,6 +64,10 @@ class Settings:
     def hourly_path(self) -> str:
         return child(self.gold_path, "sensor_timeseries_hourly")
 
+    @property
+    def states_path(self) -> str:
+        return child(self.gold_path, "hour_states")
+
     @property
     def daily_path(self) -> str:
         return child(self.gold_path, "room_daily_metrics")
@@ -102,6 +107,7 @@ class Settings:
             silver_path=path("SILVER_PATH", base.silver_path),
             silver_checkpoint=path("SILVER_CHECKPOINT_PATH", base.silver_checkpoint),
             gold_path=path("GOLD_PATH", base.gold_path),
+            gold_checkpoint=path("GOLD_CHECKPOINT_PATH", base.gold_checkpoint),
             sensors=_words(env.get("SENSORS", ",".join(base.sensors)).lower()),
             rooms=_words(env.get("ROOMS", "")),
             replay_mode=env.get("REPLAY_MODE", base.replay_mode).lower(),

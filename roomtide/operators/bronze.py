@@ -58,13 +58,13 @@ def is_unparsed() -> Column:
 
 def rejected_messages(envelope: DataFrame) -> DataFrame:
     """Topic, partition, offset, log time and text of messages that are no JSON, or JSON of another
-    shape or type than declared. A message without a value has no text."""
+    shape or type than declared; blank ones and those without a value, which have no text, too."""
     shape = StructType([*schemas.PAYLOAD.fields, StructField("rejected", StringType())])
     text = F.col("value").cast("string")
     parsed = F.from_json(text, shape, {"columnNameOfCorruptRecord": "rejected"})
     return (
         envelope.select("*", parsed.alias("message"))
-        .where(F.col("message.rejected").isNotNull() | F.col("value").isNull())
+        .where(F.col("message.rejected").isNotNull() | F.col("message").isNull())
         .select(
             "topic", "partition", "offset", F.col("timestamp").alias("kafka_ts"), text.alias("text")
         )

@@ -1,0 +1,210 @@
+"""Hours that merge, the table of their states, and gold that follows late readings."""
+
+import datetime as dt
+import math
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from roomtide import schemas
+from roomtide.jobs import gold_stream
+from roomtide.operators.hour_states import hour_states, hours_of_states, merge_states
+from roomtide.operators.hourly import hourly_metrics
+from roomtide.plans.gold import refresh_gold
+from roomtide.sources import hour_table, tables
+from roomtide.streaming import gold
+
+DAYS = [dt.date(2013, 8, d) for d in (23, 24, 25)]
+
+
+def readings(spark, rows):
+    """rows: (room, sensor, day number, hour, value)."""
+    made = []
+    for i, (room, sensor, day, hour, value) in enumerate(rows):
+        ts = dt.datetime.combine(DAYS[day], dt.time(hour, i % 60))
+        valid = value is not None
+        made.append(
+            (room, sensor, f"{room}-{sensor}", 0, ts, DAYS[day], str(value), value, "u", valid,
+             "OK" if valid else "MISSING", DAYS[day], "", ts)
+        )
+    return spark.createDataFrame(made, schemas.SILVER)
+
+
+def drawn(seed, n):
+    draw = random.Random(seed)
+    values = [None, 400.0, 20.5, 1e9, 1e9 + 1, -3.25]
+    return [
+        (draw.choice("12"), draw.choice(["co2", "pir"]), draw.randrange(3), draw.choice([5, 6]),
+         draw.choice(values) if draw.random() < 0.3 else draw.gauss(500, 3))
+        for _ in range(n)
+    ]
+
+
+def shown(df):
+    keys = ["room", "sensor_type", "hour_utc", "event_date"]
+    kept = [c for c in df.columns if c not in ("created_at", *keys)]
+    return {tuple(r[k] for k in keys): [r[c] for c in kept] for r in df.collect()}
+
+
+def assert_same(found, expected):
+    assert found.keys() == expected.keys()
+    for key, row in expected.items():
+        for a, b in zip(found[key], row, strict=True):
+            if isinstance(b, float):
+                assert (math.isnan(a) and math.isnan(b)) or a == pytest.approx(b, rel=1e-9, abs=1e-6)
+            else:
+                assert a == b, key
+
+
+@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 3), (3, 9)])
+def test_states_of_any_parts_give_the_hours_of_the_whole(spark, seed, parts):
+    rows = drawn(seed, 250)
+    states = [hour_states(readings(spark, rows[i::parts])) for i in range(parts)]
+    whole = states[0]
+    for part in states[1:]:
+        whole = whole.unionByName(part)
+    found = hours_of_states(merge_states(whole))
+    assert found.columns == schemas.HOURLY.fieldNames()
+    assert_same(shown(found), shown(hourly_metrics(readings(spark, rows))))
+
+
+def test_hours_without_values_with_one_and_with_infinity(spark):
+    rows = [("1", "co2", 0, 5, None), ("1", "co2", 0, 6, 7.0), ("1", "co2", 0, 6, None)]
+    rows += [("1", "pir", 0, 5, math.inf), ("1", "pir", 0, 5, 1.0), ("2", "pir", 0, 5, None)]
+    parts = [hour_states(readings(spark, [r])) for r in rows]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    found = shown(hours_of_states(merge_states(whole)))
+    assert_same(found, shown(hourly_metrics(readings(spark, rows))))
+    assert [r[5:7] for r in found.values()].count([None, None]) == 2
+
+
+def test_readings_without_a_day_have_no_state(spark):
+    undated = readings(spark, drawn(4, 5)).withColumn("event_date", F.lit(None).cast("date"))
+    assert hour_states(undated).count() == 0
+
+
+def test_one_shuffle_merges(spark):
+    merged = merge_states(spark.range(5).selectExpr(
+        "'1' AS room", "'co2' AS sensor_type", "DATE'2013-08-23' AS event_date",
+        "TIMESTAMP'2013-08-23 05:00:00' AS hour_utc", "id AS nb_readings", "id AS nb_valid",
+        "id AS nb_invalid", "id AS nb_values", "1D * id AS value_mean", "0D AS value_m2",
+        "0D AS value_min", "1D AS value_max",
+    ))
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_bases_and_batches_say_the_same(spark, folder):
+    """Batches merged at any time, merged twice, or coming again after they were merged."""
+    rows = drawn(6, 300)
+    parts = [readings(spark, rows[i::5]) for i in range(5)]
+    expected = shown(hourly_metrics(readings(spark, rows)))
+    for number, part in enumerate(parts):
+        assert hour_table.add_batch(hour_states(part), folder, number)
+        assert not hour_table.add_batch(hour_states(parts[0]), folder, number)
+        if number in (1, 3):
+            assert hour_table.compact(spark, folder, number)
+            assert not hour_table.compact(spark, folder, number)
+            # Its folder is gone, so it is written again, but its days have a later base.
+            assert hour_table.add_batch(hour_states(part), folder, number)
+    merged = merge_states(hour_table.read_states(spark, folder))
+    assert_same(shown(hours_of_states(merged)), expected)
+    hour_table.compact(spark, folder, 4)
+    merged = merge_states(hour_table.read_states(spark, folder))
+    assert_same(shown(hours_of_states(merged)), expected)
+    assert os.listdir(f"{folder}/deltas") == []
+
+
+def test_a_day_keeps_its_base_when_others_are_merged(spark, folder):
+    first = readings(spark, [("1", "co2", 0, 5, 1.0), ("1", "co2", 1, 5, 2.0)])
+    second = readings(spark, [("1", "co2", 1, 5, 4.0)])
+    for number, part in enumerate((first, second)):
+        hour_table.add_batch(hour_states(part), folder, number)
+        hour_table.compact(spark, folder, number)
+    merged = merge_states(hour_table.read_states(spark, folder)).orderBy("event_date").collect()
+    assert [(r.nb_readings, r.value_mean) for r in merged] == [(1, 1.0), (2, 3.0)]
+    days = spark.createDataFrame([(DAYS[0],)], "event_date date")
+    assert [r.event_date for r in hour_table.read_states(spark, folder, days).collect()] == [DAYS[0]]
+
+
+def test_reading_an_empty_table(spark, folder):
+    assert hour_table.read_states(spark, folder).count() == 0
+    assert not hour_table.compact(spark, folder, 3)
+
+
+def files(root):
+    return {
+        os.path.join(at, name): os.stat(os.path.join(at, name)).st_mtime_ns
+        for at, _, names in os.walk(root)
+        for name in names
+        if name.endswith(".parquet")
+    }
+
+
+def run(spark, folder, **options):
+    gold.start_gold(
+        gold.read_silver_stream(spark, f"{folder}/silver", max_files_per_batch=1),
+        f"{folder}/states", f"{folder}/hourly", f"{folder}/daily", f"{folder}/checkpoint",
+        available_now=True, **options,
+    ).awaitTermination()
+
+
+def daily(spark, root):
+    found = tables.read_daily(spark, root).drop("created_at").orderBy("room", "event_date").collect()
+    return [[round(v, 6) if isinstance(v, float) else v for v in r] for r in found]
+
+
+def refreshed(spark, folder):
+    """The daily table made from all of silver at once."""
+    refresh_gold(spark, f"{folder}/silver", f"{folder}/all-hours", f"{folder}/all-days")
+    return daily(spark, f"{folder}/all-days")
+
+
+def test_gold_follows_silver_and_touches_only_the_days_of_a_batch(spark, folder):
+    rows = drawn(7, 120)
+    tables.write_partitioned(readings(spark, rows), f"{folder}/silver", mode="append")
+    run(spark, folder, compact_every=2)
+    assert daily(spark, f"{folder}/daily") == refreshed(spark, folder)
+    before = files(f"{folder}/daily")
+    late = [r for r in drawn(8, 40) if r[2] == 1]
+    tables.write_partitioned(readings(spark, late), f"{folder}/silver", mode="append")
+    run(spark, folder, compact_every=2)
+    assert daily(spark, f"{folder}/daily") == refreshed(spark, folder)
+    after = files(f"{folder}/daily")
+    changed = {name.split("event_date=")[1][:10] for name in before.items() ^ after.items() for name in name[:1]}
+    assert changed == {"2013-08-24"}
+
+
+def test_a_batch_that_comes_again_changes_nothing(spark, folder):
+    roots = [f"{folder}/{name}" for name in ("states", "hourly", "daily")]
+    parts = [readings(spark, drawn(seed, 60)) for seed in (9, 10)]
+    for number, part in enumerate(parts):
+        assert gold.apply_batch(part, number, *roots)
+    expected = daily(spark, roots[2])
+    assert not gold.apply_batch(parts[1], 1, *roots)
+    assert daily(spark, roots[2]) == expected
+    # After a failure between states and tables, the tables are made from the states.
+    assert hour_table.add_batch(hour_states(parts[0]), roots[0], 2)
+    assert not gold.apply_batch(parts[0], 2, *roots)
+    whole = parts[0].unionByName(parts[1]).unionByName(parts[0])
+    assert_same(
+        shown(tables.read_hourly(spark, roots[1])), shown(hourly_metrics(whole))
+    )
+
+
+def test_a_batch_without_readings(spark, folder):
+    roots = [f"{folder}/{name}" for name in ("states", "hourly", "daily")]
+    assert gold.apply_batch(readings(spark, drawn(1, 3)).limit(0), 0, *roots)
+    assert gold.apply_batch(readings(spark, drawn(1, 3)), 1, *roots)
+    assert tables.read_hourly(spark, roots[1]).count() == hourly_metrics(readings(spark, drawn(1, 3))).count()
+
+
+def test_gold_stream_job(spark, folder, monkeypatch):
+    tables.write_partitioned(readings(spark, drawn(11, 50)), f"{folder}/silver", mode="append")
+    for name, value in {"SILVER_PATH": "silver", "GOLD_PATH": "gold", "GOLD_CHECKPOINT_PATH": "c"}.items():
+        monkeypatch.setenv(name, f"{folder}/{value}")
+    gold_stream.main(["--available-now"])
+    assert daily(spark, f"{folder}/gold/room_daily_metrics") == refreshed(spark, folder)
