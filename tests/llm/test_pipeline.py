@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from roomtide.llm import decontaminate, quality_rules, simhash
 from tests.llm.cases import awkward, documents, prose, sorted_rows
+from tests.llm.plain_decontamination import plain_contaminated
 from tests.llm.test_line_dedup import plain_dedup
 from tests.llm.test_simhash import plain_groups
 
@@ -34,19 +36,26 @@ def tables(spark, folder, rows):
     )
 
 
+def words_of(text):
+    """Number of words and of their characters, which tell the texts of an id apart here."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return len(words), sum(map(len, words))
+
+
 def plain_run(spark, rows):
     """The stages one by one on lists; the forest's verdict is taken from its operator."""
     labelled = [(i, int(i not in (201, 202))) for i, _ in rows if i is not None][:80]
     labels = spark.createDataFrame(labelled, "doc_id bigint, quality int")
     judged = quality_rules.judge(documents(spark, rows), labels).collect()
-    rejected = {r.doc_id for r in judged if not r.kept}
-    rows = [r for r in rows if r[0] not in rejected]
+    judged_rows = {(r.doc_id, r.n_words, r.word_chars): r.kept for r in judged}
+    rows = [(i, t) for i, t in rows if judged_rows[i, *words_of(t)]]
     rows = [(i, kept) for i, kept, *_ in plain_dedup(rows)]
     kept = {}
     for row, group in zip(rows, plain_groups(rows)[1], strict=True):
         kept.setdefault(group, []).append(row)
     kept = {g: min(r, key=lambda x: (x[0] is None, x[0] or 0)) for g, r in kept.items()}
-    rows = [r for r in kept.values() if QUESTION not in r[1]]
+    leaked = {r[0] for r in plain_contaminated(list(enumerate(t for _, t in kept.values())), [(1, QUESTION)])}
+    rows = [r for n, r in enumerate(kept.values()) if n not in leaked]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     results = []
     for i, t in rows:
