@@ -139,7 +139,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> LanguageModel:
     cover all rows. The weights are learned from about `sample` rows, at most 1.5 times as many,
     shared evenly among the languages; a language with fewer gives all. No rows give a model that
     knows no language. The model has one weight for each language and bucket."""
-    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
+    row = [c for c in ("doc_id", "text", "lang") if c in labelled.columns]
+    known = known.select(*row)
     totals = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}
     if not totals:
         return LanguageModel([], np.ones(BUCKETS), np.zeros((0, BUCKETS)), 1.0)
@@ -159,7 +161,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> LanguageModel:
     wanted = F.create_map(
         *[F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, 1.2 * each / n))]
     )
-    drawn = known.withColumn("draw", share(3, "text", "lang")).where(
+    # Rows are drawn, not texts: copies of one text don't come all together.
+    drawn = known.withColumn("draw", share(3, *row)).where(
         F.col("draw") < wanted[F.col("lang")]
     )
     fields = [

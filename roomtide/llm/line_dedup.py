@@ -27,6 +27,7 @@ MIN_CHARS = 40
 MIN_DOCUMENTS = 5
 _BLANKS = b" \t\n\x0b\x0c\r"
 _TEXT_SEED = 42
+_MOST_WAITING = 4096
 
 
 def line_key(line: bytes) -> bytes:
@@ -91,9 +92,12 @@ class _Run:
 
     def __init__(self, first: bool, key: tuple, head: pa.RecordBatch):
         self.first, self.key, self.head = first, key, head
-        self.docs, self.last_doc = 0, None
+        #: Whether rows of it were given on undecided, so that its summary is needed.
+        self.open = first
+        self.docs, self.last_doc, self.last_row = 0, None, None
         self.top = head.column("doc_id")[0].as_py()
         self.waiting: list[pa.RecordBatch] = []
+        self.n_waiting = 0
 
 
 def _marked(batch: pa.RecordBatch, kind: int, docs: int = 0) -> pa.RecordBatch:
@@ -103,21 +107,22 @@ def _marked(batch: pa.RecordBatch, kind: int, docs: int = 0) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
 
 
-def _stream(batches: Batches, min_documents: int) -> Batches:
-    """Rows sorted by key and descending document. Of a run, at most the rows of fewer than
-    `min_documents` documents are held."""
+def _stream(batches: Batches, min_documents: int, most_waiting: int = _MOST_WAITING) -> Batches:
+    """Rows sorted by key, descending document and text. Of a run, at most the rows of fewer than
+    `min_documents` documents are held, repeats once; those beyond `most_waiting` are given on
+    undecided, and settled with the runs at the ends of tasks."""
     run, started = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
         h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
-        doc_ids = batch.column("doc_id").to_pylist()
+        doc_ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text_hash"))
         cuts = 1 + np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
         bounds = [0, *cuts.tolist(), batch.num_rows]
         goes: list[int] = []
         for begin, end in zip(bounds, bounds[1:], strict=False):
             if run is None or run.key != (h1[begin], h2[begin]):
-                if run is not None and run.first:
+                if run is not None and run.open:
                     yield _marked(run.head, _SUMMARY, run.docs)
                 run = None
                 if started and end < batch.num_rows:
@@ -132,15 +137,20 @@ def _stream(batches: Batches, min_documents: int) -> Batches:
             for i in range(begin, end):
                 run.docs += not run.docs or doc_ids[i] != run.last_doc
                 run.last_doc = doc_ids[i]
-                if doc_ids[i] != run.top:
+                row = doc_ids[i], texts[i]
+                if doc_ids[i] != run.top and row != run.last_row:
                     others.append(i)
+                run.last_row = row
             if run.first:
                 yield _marked(batch.slice(begin, end - begin), _OPEN)
             elif others:
                 run.waiting.append(batch.take(pa.array(others)))
-                if run.docs >= min_documents:
-                    yield from (_marked(rows, _GOES) for rows in run.waiting)
-                    run.waiting = []
+                run.n_waiting += len(others)
+                if run.docs >= min_documents or run.n_waiting > most_waiting:
+                    run.open |= run.docs < min_documents
+                    kind = _GOES if run.docs >= min_documents else _OPEN
+                    yield from (_marked(rows, kind) for rows in run.waiting)
+                    run.waiting, run.n_waiting = [], 0
         if goes:
             yield _marked(batch.take(pa.array(goes)), _GOES)
     if run is not None:
@@ -158,8 +168,9 @@ def _settled(streamed: DataFrame, min_documents: int) -> DataFrame:
         .agg(F.sum("docs").alias("total"), F.max("doc_id").alias("top"))
         .where(F.col("total") >= min_documents)
     )
-    # At most two summaries for each task of the sort, whatever the number of lines.
-    undecided = streamed.where(F.col("kind") == _OPEN).join(F.broadcast(runs), keys)
+    # Written, so that Spark knows the size: about two summaries for each task of the sort.
+    runs = stored(runs, "open-runs")
+    undecided = streamed.where(F.col("kind") == _OPEN).join(runs, keys)
     found = ["doc_id", "text_hash", "positions", "n_lines"]
     return (
         streamed.where(F.col("kind") == _GOES)
@@ -212,7 +223,8 @@ def keep_bitmaps(
     gone = (
         _settled(streamed, min_documents)
         .groupBy("doc_id", "text_hash")
-        .agg(F.max("n_lines").alias("n_lines"), F.collect_list("positions").alias("gone"))
+        # Repeated rows name the same positions: a set holds at most one entry for each line.
+        .agg(F.max("n_lines").alias("n_lines"), F.collect_set("positions").alias("gone"))
     )
     fields = [
         docs.schema["doc_id"],

@@ -22,14 +22,17 @@ def letter_codes(text: str) -> np.ndarray:
     return codes[np.concatenate(([True], (codes[1:] != _SPACE) | (codes[:-1] != _SPACE)))]
 
 
-def hashed(codes: np.ndarray, sizes: tuple[int, ...], dims: int) -> np.ndarray:
-    """The buckets (below `dims`, a power of two) of all n-grams of the given sizes."""
+def hashed(
+    codes: np.ndarray, sizes: tuple[int, ...], dims: int, starts: int | None = None
+) -> np.ndarray:
+    """The buckets (below `dims`, a power of two) of all n-grams of the given sizes that fit, or of
+    those that begin at the first `starts` codes."""
     found, rolling = [], codes
     for size in range(1, max(sizes) + 1):
         if size > 1:
             rolling = rolling[:-1] * np.uint32(0x01000193) + codes[size - 1 :]
         if size in sizes:
-            mixed = rolling * np.uint32(0x9E3779B1) + np.uint32(size)
+            mixed = rolling[:starts] * np.uint32(0x9E3779B1) + np.uint32(size)
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x2C1B3C6D)
             mixed ^= mixed >> np.uint32(13)
@@ -37,18 +40,17 @@ def hashed(codes: np.ndarray, sizes: tuple[int, ...], dims: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def pieces(text: str, overlap: int) -> Iterator[str]:
-    """A whole text in pieces of bounded size that share `overlap` characters."""
-    for at in range(0, max(len(text), 1), _PIECE):
-        yield text[at : at + _PIECE + overlap]
+def pieces(text: str, sizes: tuple[int, ...], dims: int) -> Iterator[np.ndarray]:
+    """The buckets of a whole text's n-grams, each n-gram once, in parts of bounded size."""
+    codes = letter_codes(text)
+    for at in range(0, len(codes), _PIECE):
+        yield hashed(codes[at : at + _PIECE + max(sizes) - 1], sizes, dims, _PIECE)
 
 
 def bucket_counts(text: str, sizes: tuple[int, ...], dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets a text has n-grams in, ascending, and how many."""
     counts = np.zeros(dims, np.int64)
-    for piece in pieces(text, max(sizes) - 1):
-        counts += np.bincount(hashed(letter_codes(piece), sizes, dims), minlength=dims)
+    for buckets in pieces(text, sizes, dims):
+        counts += np.bincount(buckets, minlength=dims)
     buckets = np.flatnonzero(counts)
     return buckets, counts[buckets]
-
-

@@ -8,7 +8,9 @@ which are also the voters. Every document is compared with every voter by blocke
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from operator import eq
@@ -32,6 +34,7 @@ THRESHOLD = 0.3
 _SHARPNESS = 8
 _BLOCK = 2048
 _PIECE = 1 << 20
+_WORD_END = re.compile(rb"(?<=[^ \t\n\x0b\x0c\r])[ \t\n\x0b\x0c\r]")
 
 _CLASS = bytes(
     ord("X") if 0x41 <= b <= 0x5A
@@ -48,25 +51,39 @@ def _term(*shape: bytes) -> int:
     return crc32(b" ".join(shape)) % TERMS
 
 
-def _piece_terms(text: bytes, counts: Counter) -> None:
-    shape = np.frombuffer(text.translate(_CLASS), np.uint8)
+def _shapes(piece: bytes) -> list[bytes]:
+    """The shapes of words, and line breaks, in order."""
+    shape = np.frombuffer(piece.translate(_CLASS), np.uint8)
     changes = np.ones(len(shape), bool)
     changes[1:] = shape[1:] != shape[:-1]
-    shapes = [s[:16] for s in shape[changes].tobytes().replace(b"\n", b" \n ").split(b" ") if s]
-    words = text.split()
-    counts[b"same",] += sum(map(eq, words, words[1:]))
-    counts[b"other",] += max(len(words) - len(set(words)), 0)
-    counts.update(zip(shapes, strict=True))
-    counts.update(zip(shapes, shapes[1:], strict=False))
+    return [s for s in shape[changes].tobytes().replace(b"\n", b" \n ").split(b" ") if s]
+
+
+def _cuts(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of bounded size where a word ends."""
+    at = 0
+    while at < len(text):
+        found = _WORD_END.search(text, at + _PIECE)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
 
 
 def term_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a whole text, ascending, and how often each occurs."""
-    text, shapes = text or b"", Counter()
-    for at in range(0, len(text), _PIECE):
-        _piece_terms(text[at : at + _PIECE], shapes)
+    shape_counts, seen, n_words = Counter(), set(), 0
+    last_word, last_shape = [], []
+    for piece in _cuts(text or b""):
+        words, shapes = last_word + piece.split(), last_shape + _shapes(piece)
+        shape_counts[b"same",] += sum(map(eq, words, words[1:]))
+        n_words += len(words) - len(last_word)
+        seen.update(words)
+        shape_counts.update(zip(shapes[len(last_shape) :], strict=True))
+        shape_counts.update(zip(shapes, shapes[1:], strict=False))
+        last_word, last_shape = words[-1:], shapes[-1:]
+    shape_counts[b"other",] += n_words - len(seen)
     counts = np.zeros(TERMS)
-    for shape, n in shapes.items():
+    for shape, n in shape_counts.items():
         counts[_term(*shape)] += n
     terms = np.flatnonzero(counts)
     return terms, counts[terms]
@@ -169,7 +186,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, voters: int = VOTERS) ->
 
     `labels` (`doc_id`, `quality`) holds the rows that may be learned from; null labels are left
     out, and if a document has several the largest counts. At most `voters` labelled rows of `docs`
-    vote, the same ones every time; document frequencies cover all rows. A document without terms,
+    vote, the same ones every time (of several texts of one id, that with the smallest terms); document frequencies cover all rows. A document without terms,
     or like no voter, gets the share of good voters; without voters every score is 0.5. Repeated
     rows score alike; other columns are ignored; no rows give no rows."""
     terms = stored(surface_terms(docs), "surface-terms")
@@ -187,9 +204,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, voters: int = VOTERS) ->
     chosen = stored(labelled.where(draw <= wanted).orderBy(draw, "doc_id").limit(voters), "voters")
     sample = (
         terms.join(chosen, "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("terms", "counts", "label")).alias("first"))
         .orderBy("doc_id")
-        .select("terms", "counts", "label")
+        .select("first.*")
         .toPandas()
     )
     rows = [

@@ -52,7 +52,7 @@ def _held_out(folds: int, remainder: int) -> Column:
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = _held_out(4, 2)
-    model = language.train(docs.where(~held_out).select("text", "lang"))
+    model = language.train(docs.where(~held_out))
     return language.identify(docs, model).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score"
     )

@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from roomtide.llm.common import Batches, field, map_batches, share
-from roomtide.llm.ngrams import hashed, letter_codes, pieces
+from roomtide.llm.ngrams import pieces
 from roomtide.sources.scratch import stored
 
 SIZES = (4, 6, 8)
 BUCKETS = 1 << 20
+#: N-grams in use are in so many labelled texts and so much likelier in one class, as a logarithm.
 MIN_DOCUMENTS = 6
 MIN_RATIO = 2.0
 SAMPLE_ROWS = 8192
@@ -31,15 +32,9 @@ _STEPS, _RATE, _L2 = 100, 0.1, 1e-4
 
 
 def buckets_of(text: str) -> np.ndarray:
-    """The buckets the n-grams of a whole text fall in, ascending."""
-    found = [
-        np.unique(hashed(codes, SIZES, BUCKETS))
-        for piece in pieces(text, max(SIZES) - 1)
-        if len(codes := letter_codes(piece)) >= max(SIZES)
-    ]
-    if len(found) < 2:
-        return found[0] if found else np.zeros(0, np.uint32)
-    return np.unique(np.concatenate(found))
+    """The buckets the n-grams of a whole text fall in, ascending. A text too short for the longest
+    n-grams has those that fit."""
+    return np.unique(np.concatenate([np.unique(b) for b in pieces(text, SIZES, BUCKETS)]))
 
 
 @dataclass(frozen=True)
@@ -58,14 +53,8 @@ class ToxicityModel:
 
         def score(text: str | None) -> float:
             total = self.bias
-            parts = []
-            for piece in pieces(text or "", max(SIZES) - 1):
-                codes = letter_codes(piece)
-                if len(codes) >= max(SIZES):
-                    buckets = hashed(codes, SIZES, BUCKETS)
-                    parts.append(buckets[table[buckets] != 0])
-            if parts:
-                total += float(table[np.unique(np.concatenate(parts))].sum(dtype=np.float64))
+            found = [b[table[b] != 0] for b in pieces(text or "", SIZES, BUCKETS)]
+            total += float(table[np.unique(np.concatenate(found))].sum(dtype=np.float64))
             return float(1 / (1 + np.exp(-min(max(total, -500.0), 500.0))))
 
         return score
@@ -112,7 +101,9 @@ def _count_batches(batches: Batches) -> Batches:
     )
 
 
-def _telling_batches(batches: Batches, n_clean: int, n_toxic: int) -> Batches:
+def _telling_batches(
+    batches: Batches, n_clean: int, n_toxic: int, min_documents: int, min_ratio: float
+) -> Batches:
     """Sums the blocks that were dealt to one task, and gives the buckets that tell something. It
     holds the sums of its blocks, at most one number for each bucket and class."""
     sums: dict[int, np.ndarray] = {}
@@ -123,7 +114,7 @@ def _telling_batches(batches: Batches, n_clean: int, n_toxic: int) -> Batches:
             sums[block] = sums.get(block, 0) + part.astype(np.int64)
     for block, (clean, toxic) in sorted(sums.items()):
         ratios = log_ratios(toxic, clean, n_toxic, n_clean)
-        kept = np.flatnonzero((clean + toxic >= MIN_DOCUMENTS) & (np.abs(ratios) >= MIN_RATIO))
+        kept = np.flatnonzero((clean + toxic >= min_documents) & (np.abs(ratios) >= min_ratio))
         yield pa.RecordBatch.from_arrays(
             [pa.array(block * _BLOCK + kept, pa.int32()), pa.array(ratios[kept])],
             names=["bucket", "ratio"],
@@ -146,10 +137,17 @@ def _kept_batches(batches: Batches, kept: np.ndarray) -> Batches:
         )
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> ToxicityModel | None:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE_ROWS,
+    min_documents: int = MIN_DOCUMENTS,
+    min_ratio: float = MIN_RATIO,
+) -> ToxicityModel | None:
     """A model of the rows of `docs` that `labels` (`doc_id`, `toxic`) marks; null labels are left
     out, and if a document has several the largest counts. The texts of `docs` are shuffled to meet
-    their labels, so give only rows that may be learned from. Ratios count all marked rows; the
+    their labels, so give only rows that may be learned from; of several texts of
+    one id all count, and that with the smallest features is drawn. Ratios count all marked rows; the
     regression takes about `sample` rows, at most 1.5 times as many, half of them toxic if there
     are so many. None if there is no toxic or no clean row."""
     known = (
@@ -179,6 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Toxi
             [field("bucket", T.IntegerType()), field("ratio", T.DoubleType())],
             n_clean=n_clean,
             n_toxic=n_toxic,
+            min_documents=min_documents,
+            min_ratio=min_ratio,
         )
         .toPandas()
         .sort_values("bucket")
@@ -200,7 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> Toxi
         map_batches(
             docs.select("doc_id", "text").join(chosen, "doc_id"), _kept_batches, fields, kept=kept
         )
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("features", "label")).alias("first"))
+        .select("doc_id", "first.*")
         .orderBy("doc_id")
         .toPandas()
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roomtide.llm import language, quality_knn, queries, toxicity
+from roomtide.llm import language, ngrams, quality_knn, queries, toxicity
 from tests.llm.cases import awkward, documents, prose
 
 SF = "/root/testdata/sf0.1"
@@ -174,3 +174,36 @@ def test_votes_equal_those_of_all_pairs():
         nearest = np.argsort(similar)[::-1][: quality_knn.NEIGHBOURS]
         votes = np.array([similar[k] for k in nearest]) ** 8
         assert score == pytest.approx((votes * voters.labels[nearest]).sum() / votes.sum())
+
+
+@pytest.mark.parametrize("text", ["", "a", "idiot", "x" * 9, "Ab, cD! " * 40, "é日🙂 12 " * 33])
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_ngrams_of_a_text_in_parts_are_those_of_the_whole(monkeypatch, text, piece):
+    sizes, dims = (1, 2, 3, 6), 1 << 16
+    codes = ngrams.letter_codes(text)
+    whole = np.bincount(ngrams.hashed(codes, sizes, dims), minlength=dims)
+    assert whole.sum() == sum(max(len(codes) - s + 1, 0) for s in sizes)
+    monkeypatch.setattr(ngrams, "_PIECE", piece)
+    buckets, counts = ngrams.bucket_counts(text, sizes, dims)
+    assert (np.flatnonzero(whole) == buckets).all() and (whole[buckets] == counts).all()
+
+
+def test_short_texts_have_features():
+    assert len(toxicity.buckets_of("idiot")) and len(toxicity.buckets_of("ab"))
+    assert len(toxicity.buckets_of("")) == 0
+
+
+@pytest.mark.parametrize("piece", [1, 5, 50, 1000])
+def test_terms_of_a_text_in_parts_are_those_of_the_whole(monkeypatch, piece):
+    draw = random.Random(piece)
+    words = ["a", "Ab", "x" * 40 + "9", "x" * 40 + "Z", "1,5", "É", "--", "a"]
+    text = "".join(draw.choice(words) + draw.choice([" ", "  ", "\n", "\n\n", " \n ", "\t"]) for _ in range(400))
+    whole = quality_knn.term_counts(text.encode())
+    monkeypatch.setattr(quality_knn, "_PIECE", piece)
+    parts = quality_knn.term_counts(text.encode())
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_long_shapes_differ_by_their_ends():
+    one, other = (quality_knn.term_counts(f"{'aA1' * 20}{end}".encode())[0] for end in ("x", "?"))
+    assert set(one) != set(other)
