@@ -34,7 +34,8 @@ _STEPS, _RATE, _L2 = 100, 0.1, 1e-4
 def buckets_of(text: str) -> np.ndarray:
     """The buckets the n-grams of a whole text fall in, ascending. A text too short for the longest
     n-grams has those that fit."""
-    return np.unique(np.concatenate([np.unique(b) for b in pieces(text, SIZES, BUCKETS)]))
+    parts = [np.unique(buckets) for buckets in pieces(text, SIZES, BUCKETS)]
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
 @dataclass(frozen=True)
