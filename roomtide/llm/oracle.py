@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from roomtide.llm.licenses import TEMPLATES, THRESHOLD, WORD
+from roomtide.llm.licenses import BLANK_LINES, TEMPLATES, THRESHOLD, WORD
 from roomtide.llm.url_rules import RULES, UNMATCHED
 
 
@@ -12,14 +12,19 @@ def _literal(text: str) -> str:
 
 _BIGRAMS = "list_distinct(list_zip(w[:-2], w[2:]))"
 
+#: Windows are made of all lengths for every start; the picked ones are taken one by one.
 LICENSES = f"""
-WITH templates(license, body) AS (VALUES
+WITH RECURSIVE templates(license, body) AS (VALUES
   {", ".join(f"({_literal(name)}, {_literal(body)})" for name, body in TEMPLATES.items())}),
 template_words AS (
   SELECT license, regexp_extract_all(lower(body), {_literal(WORD)}) AS w FROM templates),
-template_bigrams AS (SELECT license, {_BIGRAMS} AS b FROM template_words WHERE len(w) > 1),
+template_bigrams AS (
+  SELECT license, {_BIGRAMS} AS b, len(w) - 1 AS places,
+         floor((len(w) - 1) * (2 - {THRESHOLD}::DOUBLE) / {THRESHOLD}::DOUBLE + 1e-9)::BIGINT AS most
+  FROM template_words WHERE len(w) > 1),
 lines AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-blocks AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS parts, text FROM documents),
+blocks AS (
+  SELECT doc_id, string_split_regex(text, {_literal(BLANK_LINES)}) AS parts, text FROM documents),
 units AS (
   SELECT doc_id, 'line' AS unit, unnest(generate_series(0, len(parts) - 1)) AS unit_no,
          unnest(parts) AS body FROM lines
@@ -33,16 +38,65 @@ units AS (
 unit_words AS (
   SELECT doc_id, unit, unit_no, regexp_extract_all(lower(body), {_literal(WORD)}) AS w FROM units),
 unit_bigrams AS (
-  SELECT doc_id, unit, unit_no, {_BIGRAMS} AS b FROM unit_words
+  SELECT doc_id, unit, unit_no, len(w) AS n_words, {_BIGRAMS} AS b FROM unit_words
   WHERE len(w) > 1),
 compared AS (
-  SELECT doc_id, unit, unit_no, license, len(u.b) AS n_bigrams,
+  SELECT doc_id, unit, unit_no, n_words, license, len(u.b) AS n_bigrams,
          2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice
   FROM unit_bigrams u JOIN template_bigrams t
-    ON len(t.b) BETWEEN len(u.b) * 0.66 AND len(u.b) * 1.51)
-SELECT doc_id, unit, unit_no::INTEGER AS unit_no, license, dice, n_bigrams::INTEGER AS n_bigrams
-FROM compared WHERE dice >= {THRESHOLD}
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license) = 1
+    ON len(t.b) BETWEEN len(u.b) * 0.66 AND len(u.b) * 1.51),
+like_units AS (
+  SELECT * FROM compared WHERE dice >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license) = 1),
+texts AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(lower(text), {_literal(WORD)}) AS w
+  FROM documents),
+paired AS (
+  SELECT r, doc_id, list_zip(w[:-2], w[2:]) AS pairs FROM texts WHERE len(w) > 1),
+placed AS (
+  SELECT r, unnest(generate_series(1, len(pairs))) AS place, unnest(pairs) AS pair FROM paired),
+template_pairs AS (SELECT license, places, most, len(b) AS size, unnest(b) AS pair
+  FROM template_bigrams),
+starts AS (
+  SELECT r, license, place, count(*) OVER (PARTITION BY r, license ORDER BY place
+           RANGE BETWEEN CURRENT ROW AND most - 1 FOLLOWING) AS shared,
+         size * {THRESHOLD}::DOUBLE / (2 - {THRESHOLD}::DOUBLE) - 1e-9 AS least_shared
+  FROM placed JOIN template_pairs USING (pair)),
+stretches AS (
+  SELECT r, doc_id, license, place, t.b AS b, places, pairs[place:place + most - 1] AS stretch
+  FROM starts JOIN paired USING (r) JOIN template_bigrams t USING (license)
+  WHERE shared >= least_shared),
+lengths AS (
+  SELECT r, doc_id, license, place, b, stretch,
+         unnest(generate_series(least(places, len(stretch)), len(stretch))) AS length
+  FROM stretches),
+measured AS (
+  SELECT r, doc_id, license, place, length, len(b) AS size,
+         len(list_distinct(stretch[:length])) AS n_bigrams,
+         len(list_intersect(stretch[:length], b)) AS common
+  FROM lengths),
+windows AS (
+  SELECT r, doc_id, license, place, length, n_bigrams, common,
+         2.0::DOUBLE * common / (n_bigrams + size) AS dice
+  FROM measured WHERE 2.0::DOUBLE * common / (n_bigrams + size) >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY r, license, place ORDER BY dice DESC, length) = 1),
+remaining AS (
+  SELECT r, doc_id, list_sort(list({{'fewer': -common, 'minus': -dice, 'first': place - 1,
+           'n_words': length + 1, 'license': license, 'n_bigrams': n_bigrams}})) AS rest
+  FROM windows GROUP BY r, doc_id
+  UNION ALL
+  SELECT r, doc_id, list_filter(rest, lambda x: x.first >= rest[1].first + rest[1].n_words
+           OR x.first + x.n_words <= rest[1].first)
+  FROM remaining WHERE len(rest) > 0),
+picked AS (SELECT doc_id, rest[1] AS x FROM remaining WHERE len(rest) > 0)
+SELECT doc_id, unit, unit_no::INTEGER AS unit_no, n_words::INTEGER AS n_words, license, dice,
+       n_bigrams::INTEGER AS n_bigrams
+FROM like_units
+UNION ALL
+SELECT doc_id, 'window', x.first::INTEGER, x.n_words::INTEGER, x.license, -x.minus,
+       x.n_bigrams::INTEGER
+FROM picked
 """
 
 URL_RULES = f"""
