@@ -230,12 +230,15 @@ def judge(
     """STATS, `anomaly`, `base_failed` and `kept` with `doc_id` and `text_hash` of every row of `docs`.
 
     The base rules fail texts with few words or with too many words in repeated windows; null and
-    empty texts have no words. The forest is grown on at most `sample` rows of `docs`; the score at
+    empty texts have no words. The forest is grown on at most `sample` rows of `docs`, drawn by id and
+    text, so only rows equal in both are drawn together; the score at
     which documents go is set on all labelled rows that pass the base rules, labels without document
     and null labels aside; if a document has several quality labels the largest counts. Repeated
     rows are judged alike, rows without id get no label. An empty table gives no rows."""
     stats = stored(rule_stats(docs), "rule-stats")
-    drawn = sample_rows(stats.select(*STATS), sample, *STATS).toPandas()
+    # Rows are drawn, not texts: copies of one text don't come all together.
+    row = ("doc_id", "text_hash", *STATS)
+    drawn = sample_rows(stats.select(*row), sample, *row).select(*STATS).toPandas()
     forest = grow_forest(drawn.to_numpy(np.int64).reshape(-1, len(STATS)))
     fields = [*stats.schema.fields, field("anomaly", T.DoubleType())]
     repeated = F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT

@@ -107,3 +107,13 @@ def test_given_table_against_plain_version(spark):
     found = judged.select("doc_id", *rules.STATS[:5], "base_failed").collect()
     assert sorted_rows(found) == sorted_rows([(r.doc_id, *plain_base(r.text)) for r in docs])
     assert judged.where("kept and base_failed or kept is null").count() == 0
+
+
+def test_copies_of_one_text_do_not_fill_the_sample(spark):
+    rows = [(k, prose(1, 60)) for k in range(1_000)]
+    rows += [(1_000 + k, prose(k, 80 + k % 50)) for k in range(2_000)]
+    stats = rules.rule_stats(documents(spark, rows))
+    key = ("doc_id", "text_hash", *rules.STATS)
+    drawn = rules.sample_rows(stats, 600, *key).collect()
+    assert len(drawn) == 600
+    assert 140 < sum(r.doc_id < 1_000 for r in drawn) < 260
