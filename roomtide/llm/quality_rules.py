@@ -29,6 +29,8 @@ STATS = (
     "n_distinct_words",
     "n_capitals",
     "n_marks",
+    "n_symbol_words",
+    "n_letterless_words",
 )
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -40,6 +42,20 @@ _BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = list(b"#*$%&|<>")
 _MARKS = list(b"!?.,;:")
 _WINDOW = 3
+_LETTER, _SYMBOL, _OTHER = 1, 2, 4
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = _LETTER
+_KINDS[_SYMBOLS] = _SYMBOL
+_KINDS[list(_BLANKS)] = 0
+
+
+def word_kinds(characters: np.ndarray) -> tuple[int, int]:
+    """Words with a symbol, and words without a letter (bytes beyond ASCII count as letters)."""
+    kinds = _KINDS[characters]
+    inside = kinds > 0
+    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+    words = np.bitwise_or.reduceat(kinds, starts) if len(starts) else kinds[:0]
+    return int((words & _SYMBOL > 0).sum()), int((words & _LETTER == 0).sum())
 
 
 def repeated_words(words: list[bytes]) -> tuple[int, int]:
@@ -65,7 +81,8 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
     """The counts named in STATS; a null text counts as an empty one."""
     text = text or b""
     words = text.split()
-    bytes_of = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+    characters = np.frombuffer(text, np.uint8)
+    bytes_of = np.bincount(characters, minlength=256)
     blank = sum(bytes_of[list(_BLANKS)])
     lines = [line for line in text.split(b"\n") if line.strip(_BLANKS)]
     repeats, distinct = repeated_words(words)
@@ -79,6 +96,7 @@ def text_stats(text: bytes | None) -> tuple[int, ...]:
         distinct,
         int(bytes_of[0x41:0x5B].sum()),
         int(bytes_of[_MARKS].sum()),
+        *word_kinds(characters),
     )
 
 
@@ -106,9 +124,9 @@ def rule_stats(docs: DataFrame) -> DataFrame:
 
 def ratios(stats: np.ndarray) -> np.ndarray:
     """What the forest splits on, for rows of STATS."""
-    words, chars, symbols, dup_lines, repeats, lines, distinct, capitals, marks = np.maximum(
-        stats.astype(np.float64), 0
-    ).T
+    counts = np.maximum(stats.astype(np.float64), 0).T
+    words, chars, symbols, dup_lines, repeats, lines, distinct, capitals, marks = counts[:9]
+    symbol_words, letterless_words = counts[9:]
     per_word, per_char = np.maximum(words, 1), np.maximum(chars, 1)
     return np.stack(
         [
@@ -121,6 +139,8 @@ def ratios(stats: np.ndarray) -> np.ndarray:
             capitals / per_char,
             marks / per_word,
             np.log1p(words / np.maximum(lines, 1)),
+            symbol_words / per_word,
+            letterless_words / per_word,
         ],
         axis=1,
     )

@@ -64,6 +64,23 @@ def test_repeats_with_many_words_fit_in_codes():
     assert rules.repeated_words(words) == (140_000, 70_002)
 
 
+@pytest.mark.parametrize("text", ["", " \n", "a", "#", "é # 1,5 x|y --\t$$ ab&\n", "é1 日 (!) " * 40 + "<"])
+def test_kinds_of_words_against_plain_version(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    symbols = sum(any(c in "#*$%&|<>" for c in w) for w in words)
+    letterless = sum(not re.search(r"[A-Za-z\x80-\U0010ffff]", w) for w in words)
+    assert rules.text_stats(text.encode())[-2:] == (symbols, letterless)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_bad_documents_go_and_good_ones_stay_on_given_tables(spark, sf):
+    known = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").select("doc_id", "quality")
+    judged = queries.op9_quality_rules(spark, f"/root/testdata/{sf}").where("not base_failed")
+    rows = judged.join(known, "doc_id").select("quality", "kept").collect()
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.1
+    assert np.mean([r.kept for r in rows if r.quality == 1]) >= 0.995
+
+
 def test_forest_goes_and_good_documents_stay(spark):
     rows = corpus()
     judged = rules.judge(documents(spark, rows), labels(spark, rows)).collect()
