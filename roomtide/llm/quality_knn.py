@@ -1,8 +1,9 @@
 """Quality by the votes of the nearest labelled documents in a latent semantic space.
 
-Terms are the shapes of words and their neighbours (capitals, letters, digits and symbols, runs
-shortened), so they say how a text is written in any language. Document frequencies come from all
-documents; the latent space is the singular vectors of a bounded sample of labelled documents,
+Terms are the words (A-Z lower-cased, hashed), which say what a text is about, and the shapes of words
+and their neighbours (capitals, letters, digits and symbols, runs shortened), which say how it is
+written in any language; both have a fixed share of a text's length. Document frequencies come from
+all documents; the latent space is the singular vectors of a bounded sample of labelled documents,
 which are also the voters. Every document is compared with every voter by blocked matrix products.
 """
 
@@ -25,13 +26,16 @@ from pyspark.sql import types as T
 from roomtide.llm.common import Batches, field, map_batches, share, text_bytes
 from roomtide.sources.scratch import stored
 
-TERMS = 1 << 12
-DIMENSIONS = 32
+SHAPES, WORDS = 1 << 12, 1 << 14
+TERMS = SHAPES + WORDS
+WORD_SHARE = 0.5
+DIMENSIONS = 64
 VOTERS = 4096
 NEIGHBOURS = 25
 FOLDS = 5
 THRESHOLD = 0.3
 _SHARPNESS = 8
+_SPARE_DIRECTIONS, _ROUNDS = 16, 6
 _BLOCK = 2048
 _PIECE = 1 << 20
 _WORD_END = re.compile(rb"(?<=[^ \t\n\x0b\x0c\r])[ \t\n\x0b\x0c\r]")
@@ -48,7 +52,7 @@ _CLASS = bytes(
 
 @lru_cache(maxsize=1 << 16)
 def _term(*shape: bytes) -> int:
-    return crc32(b" ".join(shape)) % TERMS
+    return crc32(b" ".join(shape)) % SHAPES
 
 
 def _shapes(piece: bytes) -> list[bytes]:
@@ -70,21 +74,23 @@ def _cuts(text: bytes) -> Iterator[bytes]:
 
 
 def term_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of a whole text, ascending, and how often each occurs."""
-    shape_counts, seen, n_words = Counter(), set(), 0
+    """The terms of a whole text, ascending (shapes first, then words), and how often each occurs."""
+    shape_counts, word_counts, n_words = Counter(), Counter(), 0
     last_word, last_shape = [], []
     for piece in _cuts(text or b""):
         words, shapes = last_word + piece.split(), last_shape + _shapes(piece)
         shape_counts[b"same",] += sum(map(eq, words, words[1:]))
         n_words += len(words) - len(last_word)
-        seen.update(words)
+        word_counts.update(words[len(last_word) :])
         shape_counts.update(zip(shapes[len(last_shape) :], strict=True))
         shape_counts.update(zip(shapes, shapes[1:], strict=False))
         last_word, last_shape = words[-1:], shapes[-1:]
-    shape_counts[b"other",] += n_words - len(seen)
+    shape_counts[b"other",] += n_words - len(word_counts)
     counts = np.zeros(TERMS)
     for shape, n in shape_counts.items():
         counts[_term(*shape)] += n
+    for word, n in word_counts.items():
+        counts[SHAPES + crc32(word.lower()) % WORDS] += n
     terms = np.flatnonzero(counts)
     return terms, counts[terms]
 
@@ -121,8 +127,29 @@ class Voters:
 
 
 def _weighted(terms: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """TF-IDF; shapes and words each get their share of the vector, however many there are."""
     values = (1 + np.log(counts)) * weights[terms]
-    return values / (np.linalg.norm(values) or 1.0)
+    words = np.searchsorted(terms, SHAPES)
+    for part, share_of in ((values[:words], 1 - WORD_SHARE), (values[words:], WORD_SHARE)):
+        part *= np.sqrt(share_of) / (np.linalg.norm(part) or 1.0)
+    return values
+
+
+def singular_directions(rows: list[tuple[np.ndarray, np.ndarray]], dimensions: int) -> np.ndarray:
+    """The first right singular vectors of a sparse matrix (terms and values of each row), by
+    subspace iteration from fixed random directions; the matrix is never made dense. Fewer if
+    there are fewer rows or terms."""
+    wide = min(dimensions + _SPARE_DIRECTIONS, len(rows), TERMS)
+    basis = np.random.default_rng(0).standard_normal((TERMS, wide))
+    for _ in range(_ROUNDS):
+        turned = np.zeros_like(basis)
+        for terms, values in rows:
+            turned[terms] += values[:, None] * (values @ basis[terms])
+        basis = np.linalg.qr(turned)[0]
+    images = np.array([values @ basis[terms] for terms, values in rows]).reshape(len(rows), wide)
+    _, lengths, turn = np.linalg.svd(images, full_matrices=False)
+    found = min(dimensions, int((lengths > 1e-9 * lengths.max(initial=0)).sum()))
+    return basis @ turn[:found].T
 
 
 def fit_voters(
@@ -131,15 +158,10 @@ def fit_voters(
     """The latent space of a labelled sample (terms, counts, label)."""
     weights = np.log((1 + n_docs) / (1 + df)) + 1
     labels = np.array([label for _, _, label in sample], np.float64)
-    dense = np.zeros((len(sample), TERMS))
-    for row, (terms, counts, _) in enumerate(sample):
-        dense[row, terms] = _weighted(terms, counts, weights)
-    # Singular vectors by the eigenvectors of the small Gram matrix of terms.
-    used = np.flatnonzero(dense.any(axis=0))
-    _, directions = np.linalg.eigh(dense[:, used].T @ dense[:, used])
-    projection = np.zeros((TERMS, min(DIMENSIONS, len(used))))
-    projection[used] = directions[:, ::-1][:, :DIMENSIONS]
-    vectors = dense @ projection
+    rows = [(terms, _weighted(terms, counts, weights)) for terms, counts, _ in sample]
+    projection = singular_directions(rows, DIMENSIONS)
+    vectors = np.array([values @ projection[terms] for terms, values in rows])
+    vectors = vectors.reshape(len(rows), projection.shape[1])
     lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors = vectors / np.where(lengths > 0, lengths, 1)
     return Voters(weights, projection, vectors, labels, float(labels.mean()) if len(labels) else 0.5)
@@ -186,8 +208,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, voters: int = VOTERS) ->
 
     `labels` (`doc_id`, `quality`) holds the rows that may be learned from; null labels are left
     out, and if a document has several the largest counts. At most `voters` labelled rows of `docs`
-    vote, the same ones every time (of several texts of one id, that with the smallest terms); document frequencies cover all rows. A document without terms,
-    or like no voter, gets the share of good voters; without voters every score is 0.5. Repeated
+    vote, the same ones every time (of several texts of one id, that with the smallest terms); document
+    frequencies cover all rows. A document without terms, or like no voter, gets the share of good voters; without voters every score is 0.5. Repeated
     rows score alike; other columns are ignored; no rows give no rows."""
     terms = stored(surface_terms(docs), "surface-terms")
     df = terms.select(F.explode("terms").alias("term")).groupBy("term").count().toPandas()

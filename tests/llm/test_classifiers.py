@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -204,6 +206,76 @@ def test_terms_of_a_text_in_parts_are_those_of_the_whole(monkeypatch, piece):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def plain_terms(text: str) -> dict[int, int]:
+    """Shapes, pairs of shapes, repeats and words of a text, a word at a time; line breaks that follow
+    each other at once are one."""
+    found = Counter()
+
+    def add(*shape: str) -> None:
+        found[zlib.crc32(" ".join(shape).encode()) % quality_knn.SHAPES] += 1
+
+    shapes = []
+    for line in re.split("\n+", text):
+        for word in line.split():
+            kinds = re.sub("[A-Z]", "X", word)
+            kinds = re.sub("[a-z]|[^\\x00-\\x7f]", "x", kinds)
+            kinds = re.sub("[0-9]", "9", kinds)
+            shapes.append(re.sub(r"(.)\1+", r"\1", kinds))
+        shapes.append("\n")
+    shapes.pop()
+    for at, shape in enumerate(shapes):
+        add(shape)
+        if at:
+            add(shapes[at - 1], shape)
+    words = text.split()
+    for at, word in enumerate(words):
+        if at and words[at - 1] == word:
+            add("same")
+        if word in words[:at]:
+            add("other")
+        lower = re.sub("[A-Z]", lambda c: c[0].lower(), word)
+        found[quality_knn.SHAPES + zlib.crc32(lower.encode()) % quality_knn.WORDS] += 1
+    return dict(found)
+
+
+@pytest.mark.parametrize("text", ["", "a", "a\n \nB", "The the the\n\nÉté, 12.5 km!! Aaa--bb\n", prose(5, 300) + "\n" + prose(6, 200)])
+def test_terms_against_plain_version(text):
+    terms, counts = quality_knn.term_counts(text.encode())
+    assert dict(zip(terms.tolist(), counts.tolist(), strict=True)) == plain_terms(text)
+
+
+def test_space_is_that_of_the_whole_matrix():
+    draw = np.random.default_rng(7)
+    topics = draw.choice(quality_knn.TERMS, (8, 60))
+    rows = []
+    for _ in range(120):
+        terms = np.unique(draw.choice(topics[draw.integers(0, 8)], 40))
+        rows.append((terms, draw.random(len(terms))))
+    dense = np.zeros((len(rows), quality_knn.TERMS))
+    for k, (terms, values) in enumerate(rows):
+        dense[k, terms] = values
+    _, lengths, directions = np.linalg.svd(dense, full_matrices=False)
+    found = quality_knn.singular_directions(rows, 8)
+    assert found.shape == (quality_knn.TERMS, 8)
+    assert found.T @ found == pytest.approx(np.eye(8), abs=1e-9)
+    assert np.linalg.norm(dense @ found, axis=0) == pytest.approx(lengths[:8], rel=1e-3)
+    assert np.linalg.norm(directions[:8] @ found) ** 2 == pytest.approx(8, rel=1e-2)
+
+
+def test_words_tell_texts_of_one_shape_apart(spark):
+    """Good and bad texts have the same shapes; only their words differ."""
+    good, bad = "river stone cloud maple".split(), "wager bonus spins slots".split()
+    rows, marks = [], []
+    for k in range(300):
+        draw = random.Random(k)
+        words = [w for _ in range(40) for w in (draw.choice(good if k % 2 else bad), "and")]
+        rows.append((k, " ".join(words)))
+        marks.append((k, k % 2))
+    labels = spark.createDataFrame(marks[:200], "doc_id bigint, quality int")
+    found = quality_knn.quality_scores(documents(spark, rows), labels).collect()
+    assert all((r.score >= 0.5) == bool(r.doc_id % 2) for r in found if r.doc_id >= 200)
+
+
 def test_long_shapes_differ_by_their_ends():
     one, other = (quality_knn.term_counts(f"{'aA1' * 20}{end}".encode())[0] for end in ("x", "?"))
     assert set(one) != set(other)
