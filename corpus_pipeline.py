@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from roomtide.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
 from roomtide.llm.common import identified, table
 from roomtide.llm.queries import bpe_digests
-from roomtide.sources.scratch import stored
+from roomtide.sources.scratch import delete, scratch_path, scratch_scope, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -105,8 +105,17 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of `sf_dir`. What a stage wrote for itself goes when it ends, and
+    its input when its result is written, so that at most two copies of the corpus are kept; the
+    rows returned still read the last one."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        target = scratch_path(spark, name.replace(" ", "-"))
+        with scratch_scope(spark, "stage"):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(target)
+        docs = spark.read.schema(result.schema).parquet(target)
+        if path:
+            delete(spark, path)
+        path = target
     return docs
