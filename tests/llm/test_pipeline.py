@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from roomtide.llm import decontaminate, quality_rules, simhash
+from roomtide.sources.scratch import folders, scratch_root
 from tests.llm.cases import awkward, documents, prose, sorted_rows
 from tests.llm.plain_decontamination import plain_contaminated
 from tests.llm.test_line_dedup import plain_dedup
@@ -105,3 +106,12 @@ def test_awkward_rows_go_through_every_stage(spark, folder):
 def test_empty_documents(spark, folder):
     tables(spark, folder, [])
     assert corpus_pipeline.run(spark, folder).collect() == []
+
+
+def test_stages_leave_only_the_result_behind(spark, folder):
+    tables(spark, folder, corpus())
+    root = scratch_root(spark)
+    before = set(folders(spark, root))
+    result = corpus_pipeline.run(spark, folder)
+    assert [name.rsplit("-", 1)[0] for name in set(folders(spark, root)) - before] == ["bpe"]
+    assert result.count() > 60
