@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roomtide.llm.common import Batches, field, map_batches, share, text_bytes
+from roomtide.llm.common import Batches, field, map_batches, share, small_batches, text_bytes
 from roomtide.sources.scratch import stored
 
 SHAPES, WORDS = 1 << 12, 1 << 14
@@ -36,7 +36,8 @@ FOLDS = 5
 THRESHOLD = 0.3
 _SHARPNESS = 8
 _SPARE_DIRECTIONS, _ROUNDS = 16, 6
-_BLOCK = 2048
+_BLOCK = 256
+_BATCH = 2 << 20
 _PIECE = 1 << 20
 _WORD_END = re.compile(rb"(?<=[^ \t\n\x0b\x0c\r])[ \t\n\x0b\x0c\r]")
 
@@ -168,13 +169,13 @@ def fit_voters(
 
 
 def _term_batches(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in small_batches(batches, _BATCH):
         found = [term_counts(t) for t in text_bytes(batch)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([f[0] for f in found], pa.list_(pa.int32())),
-                pa.array([f[1] for f in found], pa.list_(pa.float64())),
+                pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32())),
             ],
             names=["doc_id", "terms", "counts"],
         )
@@ -185,13 +186,13 @@ def surface_terms(docs: DataFrame) -> DataFrame:
     fields = [
         docs.schema["doc_id"],
         field("terms", T.ArrayType(T.IntegerType())),
-        field("counts", T.ArrayType(T.DoubleType())),
+        field("counts", T.ArrayType(T.IntegerType())),
     ]
     return map_batches(docs.select("doc_id", "text"), _term_batches, fields)
 
 
 def _score_batches(batches: Batches, voters: Voters) -> Batches:
-    for batch in batches:
+    for batch in small_batches(batches, _BATCH):
         found = zip(batch.column("terms"), batch.column("counts"), strict=True)
         vectors = [
             voters.latent(t.values.to_numpy(), c.values.to_numpy(zero_copy_only=False))
