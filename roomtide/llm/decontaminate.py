@@ -10,7 +10,9 @@ contradicts a stretch elsewhere in the alignment only ends it.
 Everything is DataFrame functions. One pass over a text finds its tokens; only hashes, ids and
 positions are joined with the benchmark, and tokens are looked up again for the few documents that
 match. Alignments start from the windows of a question that few other questions have, so that an
-instruction that all questions share does not pair every document that has it with all of them.
+instruction that all questions share does not pair every document that has it with all of them. What
+matches in such shared windows alone is found with `rest`, which aligns a document once with what
+many questions share, not with each of them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ WINDOW = 8
 MIN_TOKENS = 13
 #: A window with fewer plain words says too little.
 MIN_PLAIN = 4
-#: A stretch must hold a window that no more questions have, or as few as any window of the question.
+#: Alignments with a question start from windows that no more questions have, or as few as any window
+#: of the question; without one, a stretch counts only with `rest`.
 SHARED = 16
 
 _NUMBER, _NAME, _UNIT = "\ue000", "\ue001", "\ue002"
@@ -289,11 +292,16 @@ def _items(benchmark: DataFrame, window: int, min_plain: int) -> DataFrame:
     return items.withColumn("usable", F.filter(starts, says_enough)).where(F.size("usable") > 0)
 
 
+def _usable_windows(items: DataFrame, window: int, *ids: str) -> DataFrame:
+    """`item_at` and `hash` of the usable windows, beside `ids`."""
+    hashes = F.posexplode(_token_windows(F.col("tokens"), window)).alias("item_at", "hash")
+    usable = items.select(*ids, "usable", hashes).where(F.array_contains("usable", F.col("item_at")))
+    return usable.drop("usable")
+
+
 def _anchors(items: DataFrame, window: int, shared: int) -> DataFrame:
     """The windows that alignments start from: `item_id`, `item_text`, `item_at`, `hash`."""
-    hashes = items.select(
-        "item_id", "item_text", "usable", F.posexplode(_token_windows(F.col("tokens"), window)).alias("item_at", "hash")
-    ).where(F.array_contains("usable", F.col("item_at")))
+    hashes = _usable_windows(items, window, "item_id", "item_text")
     # Bounded by the benchmark: one row for each window of each question.
     n_items = hashes.groupBy("hash").agg(F.count_distinct("item_id").alias("n_items"))
     counted = hashes.join(n_items, "hash")
@@ -304,6 +312,38 @@ def _anchors(items: DataFrame, window: int, shared: int) -> DataFrame:
     return chosen.select("item_id", "item_text", "item_at", "hash")
 
 
+def _shared_parts(items: DataFrame, anchors: DataFrame, window: int, needed: int) -> DataFrame:
+    """What every form is without its anchors: `item_id`, `item_text`, `part` (the same for forms with
+    the same rest), `begin` (its place in the form), `tokens` and `usable`. Tokens in none of the
+    windows that are left are empty; one such token stays at an end where the question goes on, as
+    `_inner_pair` asks for the question's own ends. Fewer than `needed` windows never are enough."""
+    own = anchors.groupBy("item_id", "item_text").agg(F.collect_set("item_at").alias("own"))
+    rest = F.array_except("usable", "own")
+    left = items.join(own, ["item_id", "item_text"]).withColumn("rest", rest)
+    inside = F.array_distinct(
+        F.flatten(F.transform("rest", lambda at: F.sequence(at, at + (window - 1))))
+    )
+    last = F.element_at("rest", -1) + window
+    left = left.where(F.size("rest") >= F.greatest(F.lit(needed), F.lit(1))).select(
+        "*",
+        inside.alias("inside"),
+        F.greatest(F.element_at("rest", 1) - 1, F.lit(0)).alias("begin"),
+        F.least(last + 1, F.size("tokens")).alias("end"),
+    )
+    masked = F.transform(
+        "tokens",
+        lambda token, at: F.when(F.array_contains("inside", at), token).otherwise(""),
+    )
+    parts = left.select(
+        "item_id",
+        "item_text",
+        "begin",
+        F.slice(masked, F.col("begin") + 1, F.col("end") - F.col("begin")).alias("tokens"),
+        F.transform("rest", lambda at: at - F.col("begin")).alias("usable"),
+    )
+    return parts.withColumn("part", F.xxhash64("tokens", "usable"))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -311,18 +351,22 @@ def contaminated(
     min_tokens: int = MIN_TOKENS,
     min_plain: int = MIN_PLAIN,
     shared: int = SHARED,
+    rest: bool = False,
 ) -> DataFrame:
     """`doc_id`, `item_id`, `n_windows`, `exact` for every document and question found in it.
 
     A question is found if, in a stretch of one alignment with consistent slots, at least as many
-    windows match as `min_tokens` consecutive tokens have, or all that a question with fewer has, and
-    if one of the alignment's windows is in at most `shared` questions (or in as few as any window of
-    the question). `n_windows` is the largest number over stretches, `exact` says that no slot of it
+    windows match as `min_tokens` consecutive tokens have, or all that a question with fewer has.
+    Without `rest`, one of the alignment's windows must be in at most `shared` questions (or in as few
+    as any window of the question); with it, stretches that more questions share are found for all
+    of them. `n_windows` is the largest number over stretches, `exact` says that no slot of it
     differs. Windows are whole texts' windows. Questions of fewer than `window` tokens and windows
     with fewer than `min_plain` plain words identify nothing, and a copy in capitals only is not
     recognised. Null texts have no windows, null ids are ids of their own, repeated rows count once;
     other columns are ignored; empty tables give no rows."""
-    found = stretches(docs, benchmark, window, min_tokens, min_plain, shared)
+    found, members, starts = _stretches(docs, benchmark, window, min_tokens, min_plain, shared, rest)
+    if rest:
+        found = _for_every_item(found, members, starts)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("best.n").cast("long").alias("n_windows"),
         F.max_by(F.col("best.exact"), F.col("best")).alias("exact"),
@@ -337,10 +381,59 @@ def stretches(
     min_plain: int = MIN_PLAIN,
     shared: int = SHARED,
 ) -> DataFrame:
-    """What `contaminated` finds, by text: `doc_id`, `doc_text` (the hash of `identified`), `item_id`
-    and the `best` stretch of each alignment."""
+    """What `contaminated` finds without `rest`, by text: `doc_id`, `doc_text` (the hash of
+    `identified`), `item_id` and the `best` stretch of each alignment."""
+    found, _, _ = _stretches(docs, benchmark, window, min_tokens, min_plain, shared, False)
+    return found.select("doc_id", "doc_text", "item_id", "best")
+
+
+def _for_every_item(found: DataFrame, members: DataFrame, starts: DataFrame) -> DataFrame:
+    """`doc_id`, `item_id` and `best` of `_stretches`: a part's rows are given to the questions that
+    have it, but not where an alignment with all of the question's windows starts."""
+    having = members.select("part", F.col("item_id").alias("having"), "item_text", "begin")
+    every = found.join(having, "part", "left").select(
+        "doc_id",
+        "doc_text",
+        F.coalesce("item_id", "having").alias("item_id"),
+        "having",
+        F.col("item_text").alias("having_text"),
+        (F.col("shift") - F.col("begin")).alias("place"),
+        "best",
+    )
+    whole = starts.withColumnRenamed("item_id", "item")
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("d"))
+        & (F.col("doc_text") == F.col("t"))
+        & (F.col("having") == F.col("item"))
+        & (F.col("having_text") == F.col("item_text"))
+        & (F.col("place") == F.col("shift"))
+    )
+    return every.join(whole, same, "left_anti").select("doc_id", "item_id", "best")
+
+
+def _stretches(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int,
+    min_tokens: int,
+    min_plain: int,
+    shared: int,
+    rest: bool,
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """`doc_id`, `doc_text`, `item_id`, `shift` and the `best` stretch of each alignment that starts
+    from an anchor, with null as `part`. With `rest` also alignments with what many questions share:
+    they have a `part` and no `item_id`. Next to them the forms that have each part (`part`,
+    `item_id`, `item_text`, `begin`) and the alignments that start from anchors (`d`, `t`,
+    `item_id`, `item_text`, `shift`)."""
     items = stored(_items(benchmark, window, min_plain), "items")
     anchors = stored(_anchors(items, window, shared), "anchors")
+    hashes, least = anchors.select("hash"), min_tokens - window + 1
+    members = None
+    if rest:
+        members = stored(_shared_parts(items, anchors, window, least), "members")
+        parts = stored(members.select("part", "tokens", "usable").dropDuplicates(["part"]), "parts")
+        part_windows = stored(_usable_windows(parts, window, "part"), "part-windows")
+        hashes = hashes.union(part_windows.select("hash"))
     narrow = docs.where("text IS NOT NULL").select(
         "doc_id", "text", F.xxhash64("text").alias("doc_text")
     )
@@ -349,21 +442,26 @@ def stretches(
         "doc_text",
         F.posexplode(_text_windows("text", window)).alias("doc_at", "hash"),
     )
-    hashes = stored(anchors.select("hash").distinct(), "anchor-hashes")
+    hashes = stored(hashes.distinct(), "anchor-hashes")
     hits = stored(windows.join(hashes, "hash", "left_semi").distinct(), "window-hits")
-    starts = (
-        hits.join(anchors, "hash")
-        .select(
-            F.col("doc_id").alias("d"),
-            F.col("doc_text").alias("t"),
-            "item_id",
-            "item_text",
-            (F.col("doc_at") - F.col("item_at")).alias("shift"),
+    shift = (F.col("doc_at") - F.col("item_at")).alias("shift")
+    place = [F.col("doc_id").alias("d"), F.col("doc_text").alias("t"), shift]
+    starts = hits.join(anchors, "hash").select("item_id", "item_text", *place).distinct()
+    starts = stored(starts, "starts")
+    aligned_with = starts.join(items, ["item_id", "item_text"])
+    matched = starts.select("d", "t")
+    if rest:
+        # A row for each window that matches, so that the rest of a place is known to be too little.
+        counted = hits.join(part_windows, "hash").select("part", *place)
+        counted = counted.groupBy("part", "d", "t", "shift").agg(F.count("*").alias("n"))
+        part_starts = stored(counted.where(F.col("n") >= least).drop("n"), "part-starts")
+        aligned_with = aligned_with.unionByName(
+            part_starts.join(parts, "part"), allowMissingColumns=True
         )
-        .distinct()
-        .join(items, ["item_id", "item_text"])
-    )
-    matched = stored(hits.select("doc_id", "doc_text").distinct().toDF("d", "t"), "matched")
+        matched = matched.union(part_starts.select("d", "t"))
+    else:
+        aligned_with = aligned_with.withColumn("part", F.lit(None).cast("long"))
+    matched = stored(matched.distinct(), "matched")
     same_doc = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("doc_text") == F.col("t"))
     tokens = (
         narrow.join(matched, same_doc, "left_semi")
@@ -378,20 +476,17 @@ def stretches(
             F.get("doc_tokens", F.col("shift") + at).alias("doc_part"),
         ),
     )
-    aligned = tokens.join(starts, same_doc).select(
-        "doc_id", "doc_text", "item_id", "usable", beside.alias("pairs")
-    )
+    ids = ["doc_id", "doc_text", "item_id", "part", "shift"]
+    aligned = tokens.join(aligned_with, same_doc).select(*ids, "usable", beside.alias("pairs"))
     matches = aligned.select(
-        "doc_id",
-        "doc_text",
-        "item_id",
+        *ids,
         F.size("usable").alias("item_windows"),
         _once(F.transform("pairs", _inner_pair), lambda pairs: _matches(pairs, window)).alias("matches"),
     )
-    needed = F.least(F.lit(min_tokens - window + 1), F.col("item_windows"))
+    needed = F.least(F.lit(least), F.col("item_windows"))
     along = matches.where(F.size("matches") >= needed)
     slots = F.array_distinct(F.flatten("matches.slots"))
     whole = F.struct(F.size("matches").alias("n"), _same_values(slots).alias("exact"))
     best = F.when(_conflict(slots, slots), _longest_stretch(F.col("matches"))).otherwise(whole)
     found = along.withColumn("best", best).where(F.col("best.n") >= needed)
-    return found.select("doc_id", "doc_text", "item_id", "best")
+    return found.select(*ids, "best"), members, starts

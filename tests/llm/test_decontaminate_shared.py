@@ -1,0 +1,102 @@
+"""Passages that many questions share, in documents that have nothing else of the questions."""
+
+from __future__ import annotations
+
+import random
+
+from roomtide.llm import decontaminate, queries
+from tests.llm.cases import awkward, documents, prose, sorted_rows
+from tests.llm.plain_decontamination import plain_contaminated
+
+PASSAGE = (
+    "the old harbour lies behind a long wall of grey stone and every boat that comes in at night "
+    "has to wait for the tide before it may land its fish"
+)
+TEMPLATE = (
+    "Alice Smith has 12 apples in a small basket and gives 3 of them to Bob, then she sells 12 more "
+    "apples by the road and eats 3 of the apples before the long day is over in Oslo"
+)
+#: More than any number of questions.
+ALL = 1 << 30
+
+
+def own(n):
+    words = "who built which old wall near what green quay by the sea".split()
+    return " ".join(f"{w}{chr(97 + n % 26)}{chr(97 + n // 26)}" for w in words)
+
+
+def questions(spark, bank):
+    return spark.createDataFrame(bank, "item_id bigint, text string")
+
+
+def test_a_passage_of_many_questions_is_found_for_all_of_them(spark):
+    bank = [(n, f"{PASSAGE} {own(n)}") for n in range(40)]
+    rows = [(1, f"{prose(1, 9)} {PASSAGE} {prose(2, 9)}"), (2, f"{prose(3, 9)} {own(5)}"), (3, prose(4, 50))]
+    rows += [(4, bank[7][1])]
+    found = decontaminate.contaminated(documents(spark, rows), questions(spark, bank), rest=True)
+    pairs = {(r.doc_id, r.item_id): r.n_windows for r in found.collect()}
+    n_passage, n_own = len(PASSAGE.split()) - 7, len(own(0).split())
+    expected = {(d, n): n_passage for d in (1, 4) for n in range(40)}
+    expected |= {(4, 7): n_passage + n_own}
+    assert pairs == expected
+
+
+def test_the_query_takes_the_rest(spark, folder):
+    bank = [(n, f"{PASSAGE} {own(n)}") for n in range(17)]
+    questions(spark, bank).write.parquet(f"{folder}/benchmark.parquet")
+    documents(spark, [(1, PASSAGE)]).write.parquet(f"{folder}/documents.parquet")
+    found = queries.op2_decontamination(spark, folder).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, n) for n in range(17)}
+
+
+def test_shared_passages_against_plain_version(spark):
+    """Passages with values, before, between and behind what questions have for themselves; documents
+    hold parts of them, with other values."""
+    draw = random.Random(11)
+    bank = []
+    for n in range(36):
+        passage = PASSAGE if n % 2 else TEMPLATE
+        if n % 12 == 0:
+            passage = passage.replace("12", str(draw.randint(13, 15)))
+        half = passage.index(" and ")
+        bank.append((n, [
+            f"{passage} {own(n)}",
+            f"{own(n)} {passage}",
+            f"{passage[:half]} {own(n)} and 12 of them {own(n + 50)}{passage[half:]}",
+        ][n // 2 % 3]))
+    rows = []
+    for k in range(60):
+        words = draw.choice([PASSAGE, TEMPLATE, TEMPLATE, draw.choice(bank)[1]]).split()
+        for at, word in enumerate(words):
+            if (word[0].isdigit() or word[0].isupper()) and draw.random() < 0.2:
+                words[at] = draw.choice(["7", "12", "20"] if word[0].isdigit() else ["Dora", "Emil", "Bob"])
+        words = words[draw.choice([0, 0, draw.randint(0, 9)]) :][: draw.choice([99, 99, draw.randint(12, 30)])]
+        if draw.random() < 0.3:
+            words[draw.randrange(len(words))] = "else"
+        before = draw.choice(["", f"{prose(k, 5)} ", f"{prose(k, 5)}. Dear "])
+        rows.append((k, f"{before}{' '.join(words)} {draw.choice(['', 'Hill is ', prose(k + 500, 3)])}"))
+    rows += [*awkward(), (None, PASSAGE), (None, PASSAGE), (None, TEMPLATE)]
+    docs, benchmark = documents(spark, rows), questions(spark, bank)
+    found = decontaminate.contaminated(docs, benchmark, rest=True).collect()
+    expected = plain_contaminated(rows, bank, shared=ALL)
+    assert sorted_rows(found) == sorted_rows(expected)
+    fewer = plain_contaminated(rows, bank)
+    assert len(fewer) < len(expected) and {r[3] for r in expected} == {True, False}
+    assert sorted_rows(decontaminate.contaminated(docs, benchmark).collect()) == sorted_rows(fewer)
+    docs_of = lambda found: {r[0] for r in found}
+    assert docs_of(fewer) < docs_of(expected) < docs_of(rows)
+
+
+def test_windows_between_shared_ones_end_a_stretch(spark):
+    """Where a question's own windows match too, they are part of the alignment: here they contradict
+    themselves, and what stands before and behind them is no single stretch."""
+    words = PASSAGE.split()
+    first, last = " ".join(words[:15]), " ".join(words[15:])
+    bank = [(n, " 12 ".join([first, *own(n).split()[:4], last])) for n in range(20)]
+    parts = bank[3][1].split(" 12 ")
+    text = "".join(a + b for a, b in zip(parts, [" 12 ", " 21 ", " 22 ", " 23 ", " 12 ", ""], strict=True))
+    found = decontaminate.contaminated(documents(spark, [(1, text)]), questions(spark, bank), rest=True)
+    expected = plain_contaminated([(1, text)], bank, shared=ALL)
+    assert sorted_rows(found.collect()) == sorted_rows(expected)
+    n_windows = {r[1]: r[2] for r in expected}
+    assert len(n_windows) == 20 and n_windows[3] < n_windows[4]
