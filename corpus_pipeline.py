@@ -86,7 +86,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark question; of rows with one doc_id, each text by itself."""
-    found = decontaminate.stretches(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated_texts(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.withColumnRenamed("doc_text", "text_hash"), "leaked")
 
 

@@ -387,6 +387,34 @@ def stretches(
     return found.select("doc_id", "doc_text", "item_id", "best")
 
 
+def contaminated_texts(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    min_tokens: int = MIN_TOKENS,
+    min_plain: int = MIN_PLAIN,
+    shared: int = SHARED,
+) -> DataFrame:
+    """`doc_id` and `doc_text` (the hash of `identified`) of every text in which `contaminated` finds a
+    question with `rest`. A part counts unless all questions that have it are aligned at its place
+    with all of their windows, so that no text is paired with each of them."""
+    found, members, starts = _stretches(docs, benchmark, window, min_tokens, min_plain, shared, True)
+    n_having = members.groupBy("part").agg(F.count("*").alias("n_having"))
+    aligned = starts.join(members, ["item_id", "item_text"]).select(
+        "d", "t", F.col("part").alias("of"), (F.col("shift") + F.col("begin")).alias("place")
+    )
+    n_aligned = aligned.groupBy("d", "t", "of", "place").agg(F.count("*").alias("n_aligned"))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("d"))
+        & (F.col("doc_text") == F.col("t"))
+        & (F.col("part") == F.col("of"))
+        & (F.col("shift") == F.col("place"))
+    )
+    counted = found.join(n_having, "part", "left").join(n_aligned, same, "left")
+    others = F.col("n_having") > F.coalesce("n_aligned", F.lit(0))
+    return counted.where(F.col("part").isNull() | others).select("doc_id", "doc_text").distinct()
+
+
 def _for_every_item(found: DataFrame, members: DataFrame, starts: DataFrame) -> DataFrame:
     """`doc_id`, `item_id` and `best` of `_stretches`: a part's rows are given to the questions that
     have it, but not where an alignment with all of the question's windows starts."""

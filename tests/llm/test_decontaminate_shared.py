@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 from roomtide.llm import decontaminate, queries
 from tests.llm.cases import awkward, documents, prose, sorted_rows
 from tests.llm.plain_decontamination import plain_contaminated
@@ -81,6 +82,11 @@ def test_shared_passages_against_plain_version(spark):
     expected = plain_contaminated(rows, bank, shared=ALL)
     assert sorted_rows(found) == sorted_rows(expected)
     fewer = plain_contaminated(rows, bank)
+    texts = decontaminate.contaminated_texts(docs, benchmark).collect()
+    hashes = documents(spark, rows).selectExpr("doc_id", "xxhash64(text)").distinct().collect()
+    ids = {r[0] for r in expected}
+    assert len(texts) == len(set(texts)) and set(texts) <= {tuple(r) for r in hashes}
+    assert {r.doc_id for r in texts} == ids and sum(r.doc_id is None for r in texts) == 2
     assert len(fewer) < len(expected) and {r[3] for r in expected} == {True, False}
     assert sorted_rows(decontaminate.contaminated(docs, benchmark).collect()) == sorted_rows(fewer)
     docs_of = lambda found: {r[0] for r in found}
@@ -100,3 +106,35 @@ def test_windows_between_shared_ones_end_a_stretch(spark):
     assert sorted_rows(found.collect()) == sorted_rows(expected)
     n_windows = {r[1]: r[2] for r in expected}
     assert len(n_windows) == 20 and n_windows[3] < n_windows[4]
+    texts = decontaminate.contaminated_texts(documents(spark, [(1, text)]), questions(spark, bank))
+    assert [r.doc_id for r in texts.collect()] == [1]
+
+
+def test_a_part_counts_for_questions_not_aligned_at_its_place(spark):
+    """Ten questions match in the first half between the shared parts, ten in the second: for them the
+    contradicting values there leave too little on either side. One more matches in neither."""
+    words = PASSAGE.split()
+
+    def text(k, m, values):
+        between = [*own(k).split()[:5], *own(m).split()[5:10]]
+        parts = [" ".join(words[:10]), *between, " ".join(words[10:20])]
+        return "".join(f"{part} {value} " for part, value in zip(parts, [*values, "."], strict=True))
+
+    same = [12] * 11
+    bank = [(k, text(0, k, same) if k <= 10 else text(k, 0, same)) for k in range(1, 21)]
+    rows = [(1, text(0, 0, [12, *range(21, 30), 12])), (2, prose(1, 40))]
+    for items, docs_found in ((bank, set()), ([*bank, (21, text(21, 21, same))], {1})):
+        assert {r[0] for r in plain_contaminated(rows, items, shared=ALL)} == docs_found
+        docs, benchmark = documents(spark, rows), questions(spark, items)
+        found = decontaminate.contaminated_texts(docs, benchmark).collect()
+        assert {r.doc_id for r in found} == docs_found
+        every = decontaminate.contaminated(docs, benchmark, rest=True).collect()
+        assert {r.doc_id for r in every} == docs_found
+
+
+def test_the_pipeline_drops_texts_with_a_shared_passage(spark, folder):
+    bank = [(n, f"{PASSAGE} {own(n)}") for n in range(17)]
+    questions(spark, bank).write.parquet(f"{folder}/benchmark.parquet")
+    rows = [(1, f"{prose(1, 9)} {PASSAGE}"), (2, prose(2, 40)), (3, bank[3][1]), (None, PASSAGE), (None, None)]
+    kept = corpus_pipeline.decontamination_stage(spark, documents(spark, rows), folder)
+    assert sorted_rows(kept.select("doc_id", "text").collect()) == sorted_rows([rows[1], rows[4]])
